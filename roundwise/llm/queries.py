@@ -7,6 +7,8 @@ from roundwise.llm.langid import op9_language_id
 from roundwise.llm.media import op7_media_columns
 from roundwise.llm.quality import op1_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_byte_bpe, op7_media_columns, op9_language_id)}
+from roundwise.llm.secrets import op3_secret_scans
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_secret_scans, op6_byte_bpe, op7_media_columns, op9_language_id)}
 
 ORACLES: dict[str, str] = {}
