@@ -8,7 +8,8 @@ from roundwise.llm.media import op7_media_columns
 from roundwise.llm.quality import op1_quality_rules
 
 from roundwise.llm.secrets import op3_secret_scans
+from roundwise.llm.simhash import op8_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_secret_scans, op6_byte_bpe, op7_media_columns, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_secret_scans, op6_byte_bpe, op7_media_columns, op8_simhash_near_dedup, op9_language_id)}
 
 ORACLES: dict[str, str] = {}
