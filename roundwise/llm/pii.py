@@ -116,7 +116,8 @@ def trusted(docs: DataFrame, text: str = "text") -> DataFrame:
     m = with_matches(docs.select(F.col(f"`{text}`").alias("text")))
     seeds = F.flatten(F.array(*[F.transform(F.col("_pii")[k], lambda x: F.struct(F.lower(F.regexp_extract(F.substring(t, F.greatest(x["start"] - 22, F.lit(1)), F.least(x["start"], F.lit(23))), CONTEXT + "$", 1)).alias("pattern"), x["value"].alias("instance"), F.lit(True).alias("seed"))) for k in PATTERNS]))
     others = F.transform(F.col("_pii")["candidates"], lambda x: F.struct(F.lower(F.regexp_extract(x["value"], CONTEXT, 1)).alias("pattern"), F.regexp_replace(x["value"], "^" + CONTEXT, "").alias("instance"), F.lit(False).alias("seed")))
-    pairs = m.select(F.explode(F.concat(seeds, others)).alias("x")).select("x.*").where("pattern <> ''")
+    # explode_outer: explode would infer a filter that computes the arrays again
+    pairs = m.select(F.explode_outer(F.concat(seeds, others)).alias("x")).select("x.*").where("pattern <> ''")
     edges = staged(pairs.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "contexts")
     return scores(edges).where((F.col("score") >= HIGH) & (F.col("seeds") >= SEEDS)).select("pattern")
 

@@ -121,8 +121,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum
     measured: key, stratum and the features as top-level columns. labels: key and
     quality (1: good). One grouped pass counts every candidate."""
     tries = [(r, c) for r, cs in CUTOFFS.items() for c in cs]
-    good = measured.join(labels.where("quality = 1").select(key), key).where(~F.col("base_failed"))
-    counts = good.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(r) > c).alias(f"k{i}") for i, (r, c) in enumerate(tries)])
+    good = measured.join(labels.where("quality = 1").select(key), key)
+    stays = ~F.col("base_failed")  # counted, not filtered: a filter would be pushed into the features and compute them twice
+    counts = good.groupBy(stratum).agg(F.count_if(stays).alias("n"), *[F.count_if(stays & (F.col(r) > c)).alias(f"k{i}") for i, (r, c) in enumerate(tries)])
     long = counts.select(stratum, "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (r, c) in enumerate(tries)])).alias("x")).select(stratum, "n", "x.*")
     strata = counts.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata"))
     tested = long.crossJoin(F.broadcast(strata)).withColumn("bound", binomial_tail(F.col("n"), F.col("k"), risk.alpha / len(CUTOFFS)))
@@ -145,7 +146,7 @@ def verdict(feature) -> Column:
     hit = F.lit(False)
     for r in CUTOFFS:
         hit = hit | F.coalesce(feature(r) > F.col(f"cut_{r}"), F.lit(False))
-    return ~feature("base_failed") & ~hit
+    return F.when(hit, F.lit(False)).otherwise(~feature("base_failed"))  # one term, so no part is pushed into the features
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:

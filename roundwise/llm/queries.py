@@ -9,7 +9,6 @@ from roundwise.llm.mixing import op2_mixing
 from roundwise.llm.pages import op10_html_extraction
 from roundwise.llm.pii import op4_pii
 from roundwise.llm.quality import op1_quality_rules
-
 from roundwise.llm.secrets import op3_secret_scans
 from roundwise.llm.simhash import op8_simhash_near_dedup
 from roundwise.llm.toxicity import op5_toxicity
