@@ -168,3 +168,34 @@ def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, risk: Risk = R
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_TRIES = ", ".join(f"('{r}', {c}::DOUBLE)" for r, cs in CUTOFFS.items() for c in cs)
+_N_TRIES = sum(map(len, CUTOFFS.values()))
+_ALPHA = Risk().alpha / len(CUTOFFS)
+#: The rows of op1_quality_rules in DuckDB's SQL.
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+s AS (SELECT rid, doc_id, stratum, t, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS l FROM d),
+wi AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM s WHERE len(w) >= 3)),
+re AS (SELECT rid, win FROM wi GROUP BY ALL HAVING count(*) > 1),
+cv AS (SELECT rid, count(DISTINCT i + j) AS n FROM wi JOIN re USING (rid, win), (SELECT unnest([0, 1, 2]) AS j) GROUP BY rid),
+c AS (SELECT s.rid, doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
+  (length(t) - length(regexp_replace(t, '[A-Z]+', '', 'g')))::BIGINT AS n_capitals,
+  len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cv.n, 0)::BIGINT AS n_repeat_words FROM s LEFT JOIN cv USING (rid)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {{
+  'symbol_share': coalesce(n_symbols / nullif(word_chars, 0)::DOUBLE, 0), 'capital_share': coalesce(n_capitals / nullif(word_chars, 0)::DOUBLE, 0),
+  'dup_line_share': coalesce(n_dup_lines / nullif(n_lines, 0)::DOUBLE, 0), 'repeat_share': coalesce(n_repeat_words / nullif(n_words, 0)::DOUBLE, 0),
+  'word_length': coalesce(word_chars / nullif(n_words, 0)::DOUBLE, 0)}} AS v FROM c),
+tries(rule, cutoff) AS (VALUES {_TRIES}),
+u AS (SELECT rid, doc_id, stratum, base_failed, rule, cutoff, CASE rule WHEN 'symbol_share' THEN v.symbol_share WHEN 'capital_share' THEN v.capital_share
+  WHEN 'dup_line_share' THEN v.dup_line_share WHEN 'repeat_share' THEN v.repeat_share ELSE v.word_length END AS value FROM f, tries),
+k AS (SELECT stratum, rule, cutoff, count(*) FILTER (WHERE NOT base_failed) AS n, count(*) FILTER (WHERE NOT base_failed AND value > cutoff) AS k
+  FROM u JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id) GROUP BY ALL),
+b AS (SELECT *, CASE WHEN k >= n * {_ALPHA} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_ALPHA}) + (n - i) * ln(1 - {_ALPHA})))) END AS bound FROM k),
+cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM b WHERE bound <= {Risk().delta} / ((SELECT greatest(1, count(DISTINCT stratum)) FROM k) * {_N_TRIES}) GROUP BY ALL),
+hit AS (SELECT DISTINCT rid FROM u JOIN cut USING (stratum, rule, cutoff) WHERE value > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM hit) AS kept FROM f
+"""

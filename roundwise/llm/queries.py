@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from roundwise.llm import quality
 from roundwise.llm.bpe import op6_byte_bpe
 from roundwise.llm.langid import op9_language_id
 from roundwise.llm.media import op7_media_columns
@@ -15,4 +16,4 @@ from roundwise.llm.toxicity import op5_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_secret_scans, op4_pii, op5_toxicity, op6_byte_bpe, op7_media_columns, op8_simhash_near_dedup, op9_language_id, op10_html_extraction)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.ORACLE}
