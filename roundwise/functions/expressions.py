@@ -46,8 +46,8 @@ def outcome(lo: Column, hi: Column, hit: Column) -> Column:
 
 
 def wilson(wins: Column, losses: Column, z: float = 1.96) -> tuple[Column, Column]:
-    n = wins + losses
-    p = safe_div(wins.cast("double"), n)
+    n = F.nullif(wins + losses, F.lit(0))
+    p = wins / n
     middle = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     return F.greatest(F.lit(0.0), middle - half), F.least(F.lit(1.0), middle + half)
