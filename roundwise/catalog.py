@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from roundwise.plans import forecasts, ingests, ledgers, probabilities, scans, sequences, statistics, streams  # noqa: E402, F401
+from roundwise.plans import forecasts, ingests, ledgers, probabilities, scans, sequences, signals, statistics, streams  # noqa: E402, F401

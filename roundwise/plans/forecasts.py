@@ -196,13 +196,13 @@ def next_round_report(spark, sf_dir):
     return out
 
 
-@query(f"WITH {R}, c(target, style) AS (VALUES (2, 'safe'), (3, 'safe'), (5, 'balanced'), (10, 'balanced'), (20, 'aggressive'), (50, 'aggressive')), p AS (SELECT target, style, avg((multiplier >= target)::INT) AS p FROM rounds, c GROUP BY ALL) SELECT style, arg_max(target, round(p * target, 9)) AS target, round(max(round(p * target, 9)) - 1, 6) AS ev FROM p GROUP BY style")
+@query(f"WITH {R}, c(target, style) AS (VALUES (2, 'safe'), (3, 'safe'), (5, 'balanced'), (10, 'balanced'), (20, 'aggressive'), (50, 'aggressive')), p AS (SELECT target, style, avg((multiplier >= target)::INT) AS p FROM rounds, c GROUP BY ALL) SELECT style, first(target ORDER BY round(p * target, 9) DESC, target) AS target, round(max(round(p * target, 9)) - 1, 6) AS ev FROM p GROUP BY style")
 def ev_table(spark, sf_dir):
     """The candidate of each style with the best value at the observed rate."""
     styles = ((2, "safe"), (3, "safe"), (5, "balanced"), (10, "balanced"), (20, "aggressive"), (50, "aggressive"))
     one = rounds(spark, sf_dir).agg(*[F.avg((F.col("multiplier") >= t).cast("int")).alias(f"p{t}") for t, _ in styles])
     p = one.select(F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(s).alias("style"), F.round(F.col(f"p{t}") * t, 9).alias("v")) for t, s in styles])).alias("x")).select("x.*")
-    return p.groupBy("style").agg(F.max_by("target", "v").alias("target"), F.round(F.max("v") - 1, 6).alias("ev"))
+    return p.groupBy("style").agg(F.max_by("target", F.struct("v", -F.col("target"))).alias("target"), F.round(F.max("v") - 1, 6).alias("ev"))
 
 
 @query()
