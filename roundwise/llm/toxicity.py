@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from roundwise.llm.common import bounded_arrow, table
 from roundwise.llm.langid import held_out
 
-SAMPLE = 2500
+SAMPLE = 1200
 LANDMARKS = 96
 HASH = 18
 SPAN, WIDTH, STEP = 6, 24, 12
 DECAY = 0.5
-MEMO = 300_000
-WORD_LIST = 40_000
+MEMO = 600_000
+WORD_LIST = 30_000
 SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
 PIECES = re.compile(r"[^\W\d_]+")
 
@@ -51,7 +51,8 @@ _OFFSETS = [(0, *rest) for n in (3, 4) for rest in combinations(range(1, SPAN),
 
 def codes(words: list[str]) -> np.ndarray:
     """A row a word: codes of its characters with marks at both ends, 0 after."""
-    out = np.zeros((len(words), WIDTH + 2), np.int64)
+    longest = min(WIDTH, max(map(len, words), default=0))
+    out = np.zeros((len(words), max(SPAN, longest + 2)), np.int64)
     for i, w in enumerate(words):
         w = w[:WIDTH]
         out[i, 0] = 1
@@ -68,11 +69,11 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     places, weights = [], []
     for offsets in _OFFSETS:
         last = n - offsets[-1]
-        h = np.zeros((len(words), last), np.uint64)
+        h = np.zeros((len(words), last), np.uint64)  # last >= 1, as rows are SPAN wide at least
         for o in offsets:
             h = (h ^ c[:, o : o + last].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        places.append((h >> np.uint64(64 - HASH)).astype(np.int64))
+        places.append((h >> np.uint64(64 - HASH)).astype(np.int32))
         weights.append(np.where(c[:, offsets[-1] : offsets[-1] + last] > 0, DECAY ** (offsets[-1] - len(offsets) + 1), 0.0))
     p, w = np.concatenate(places, axis=1), np.concatenate(weights, axis=1)
     p = np.where(w > 0, p, -1)
@@ -130,9 +131,11 @@ class Model:
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words))
-        for at in range(0, len(words), 1000):
-            p, w = subsequences(words[at : at + 1000])
-            out[at : at + 1000] = (self.weights[p] * w).sum(axis=1)
+        order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
+        for at in range(0, len(words), 1000):  # words of like length together: narrow tables
+            some = order[at : at + 1000]
+            p, w = subsequences([words[i] for i in some])
+            out[some] = (self.weights[p] * w).sum(axis=1)
         return np.maximum(out + self.bias, -3.0)
 
     def score_all(self, texts: list[str | None]) -> list[float]:
@@ -196,25 +199,29 @@ def fit(rows: list[tuple[int, list[str]]]) -> Model:
     values, vectors = np.linalg.eigh(gram)
     keep = values > 1e-6
     white = vectors[:, keep] / np.sqrt(values[keep])
-    pool = list(dict.fromkeys([*negatives, *bad]))
-    at = {w: i for i, w in enumerate(pool)}
-    features = np.column_stack([kernel(pool, marks) @ white, np.ones(len(pool))])
-    clean_at = np.array([at[w] for w in negatives])
-    w = None
+    at, weight = subsequences(marks)
+
+    def model_of(w: np.ndarray, curve: tuple[float, float, float]) -> Model:
+        """The weights of landmarks folded into those of subsequences."""
+        weights = np.zeros(1 << HASH)
+        np.add.at(weights, at, weight * (white @ w[:-1])[:, None])
+        return Model(weights, float(w[-1]), curve)
+
+    def features(words: list[str]) -> np.ndarray:
+        return np.column_stack([kernel(words, marks) @ white, np.ones(len(words))])
+
+    clean_rows = features(negatives)
+    words = sorted(bad)
     for turn in range(3):
-        pos = np.array(sorted(at[x] for x in witnesses))
-        x = np.concatenate([features[pos], features[clean_at]])
-        y = np.concatenate([np.ones(len(pos)), -np.ones(len(clean_at))])
-        cost = np.concatenate([np.array([1.0 * min(20, bad[pool[i]]) for i in pos]), np.full(len(clean_at), 1.0)])
-        w = svm(x, y, cost)
-        margin = features @ w
+        pos = sorted(witnesses)
+        x = np.concatenate([features(pos), clean_rows])
+        y = np.concatenate([np.ones(len(pos)), -np.ones(len(negatives))])
+        cost = np.concatenate([np.array([1.0 * min(20, bad[v]) for v in pos]), np.ones(len(negatives))])
+        model = model_of(svm(x, y, cost), (0.0, 1.0, 0.0))
         if turn < 2:  # the best word of each toxic document, if it is any good
-            chosen = {max(b, key=lambda v: margin[at[v]]) for b in toxic if b}
-            witnesses = {v for v in chosen if margin[at[v]] > 0 and not good[v]} | set(ranked[:LANDMARKS])
-    p, weight = subsequences(marks)
-    fold = np.zeros((1 << HASH, len(marks)))
-    np.add.at(fold, (p, np.arange(len(marks))[:, None]), weight)
-    model = Model(fold @ (white @ w[:-1]), float(w[-1]), (0.0, 1.0, 0.0))
+            of = dict(zip(words, model.margins(words).tolist(), strict=True))
+            chosen = {max(b, key=of.__getitem__) for b in toxic if b}
+            witnesses = {v for v in chosen if of[v] > 0 and not good[v]} | set(ranked[:LANDMARKS])
     words = list({x for _, b in bags for x in b})
     of = dict(zip(words, model.margins(words).tolist(), strict=True))
     tops = np.array([([-3.0, -3.0] + sorted(of[v] for v in b))[-2:][::-1] for _, b in bags])
