@@ -29,10 +29,11 @@ def indexed(df: DataFrame, by: tuple[str, ...] = (), order: str = "round_id", bl
     return df.withColumn("_inner", inner).join(firsts, [*by, "_blk"]).withColumn("idx", (F.col("_first") + F.col("_inner")).cast("long")).drop("_blk", "_inner", "_first")
 
 
-def carried(df: DataFrame, into: str, value: Column, by: tuple[str, ...] = (), forward: bool = True, inclusive: bool = True, block: int = BLOCK) -> DataFrame:
-    """df (with idx) and into: the last non-null value up to the row (forward),
-    or the first from the row on; the row itself counts if inclusive."""
-    df = df.withColumn("_blk", _block(F.col("idx"), block)).withColumn("_v", value)
+def carried_all(df: DataFrame, values: dict[str, Column], by: tuple[str, ...] = (), forward: bool = True, inclusive: bool = True, block: int = BLOCK) -> DataFrame:
+    """df (with idx) and, for each name, the last non-null value up to the row
+    (forward), or the first from the row on; the row itself counts if inclusive.
+    All values share one window and one table of block summaries."""
+    df = df.withColumn("_blk", _block(F.col("idx"), block)).withColumns({f"_v_{n}": v for n, v in values.items()})
     pick = F.last if forward else F.first
     inner = Window.partitionBy(*by, "_blk").orderBy("idx")
     edge = 0 if inclusive else (-1 if forward else 1)
@@ -40,9 +41,17 @@ def carried(df: DataFrame, into: str, value: Column, by: tuple[str, ...] = (), f
     blocks = Window.partitionBy(*by).orderBy("_blk")
     blocks = blocks.rowsBetween(Window.unboundedPreceding, -1) if forward else blocks.rowsBetween(1, Window.unboundedFollowing)
     best = F.max_by if forward else F.min_by
-    sums = df.groupBy(*by, "_blk").agg(best(F.when(F.col("_v").isNotNull(), F.col("_v")), F.when(F.col("_v").isNotNull(), F.col("idx"))).alias("_own"))
-    outer = sums.withColumn("_from", pick("_own", ignorenulls=True).over(blocks)).drop("_own")
-    return df.withColumn("_near", pick("_v", ignorenulls=True).over(inner)).join(outer, [*by, "_blk"]).withColumn(into, F.coalesce("_near", "_from")).drop("_blk", "_v", "_near", "_from")
+    own = lambda n: best(F.when(F.col(f"_v_{n}").isNotNull(), F.col(f"_v_{n}")), F.when(F.col(f"_v_{n}").isNotNull(), F.col("idx")))
+    sums = df.groupBy(*by, "_blk").agg(*[own(n).alias(f"_own_{n}") for n in values])
+    outer = sums.select(*by, "_blk", *[pick(f"_own_{n}", ignorenulls=True).over(blocks).alias(f"_from_{n}") for n in values])
+    near = df.withColumns({f"_near_{n}": pick(f"_v_{n}", ignorenulls=True).over(inner) for n in values}).join(outer, [*by, "_blk"])
+    own_columns = [c for c in df.columns if c != "_blk" and c not in values and not c.startswith("_v_")]
+    return near.select(*own_columns, *[F.coalesce(f"_near_{n}", f"_from_{n}").alias(n) for n in values])
+
+
+def carried(df: DataFrame, into: str, value: Column, by: tuple[str, ...] = (), forward: bool = True, inclusive: bool = True, block: int = BLOCK) -> DataFrame:
+    """carried_all of one value."""
+    return carried_all(df, {into: value}, by, forward, inclusive, block)
 
 
 def running_sum(df: DataFrame, into: str, value: Column, by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
@@ -68,8 +77,15 @@ def framed(df: DataFrame, before: int, after: int, columns: Callable[[Callable[[
     return spread.withColumns(found).where("_home = _blk").drop("_home", "_blk")
 
 
+def runs_all(df: DataFrame, flags: dict[str, Column], by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """df (with idx) and, for each name, the length of the run of true flags that
+    ends at the row; 0 where the flag is false."""
+    out = df.withColumns({f"_flag_{n}": f for n, f in flags.items()})
+    out = carried_all(out, {f"_stop_{n}": F.when(~F.col(f"_flag_{n}"), F.col("idx")) for n in flags}, by, block=block)
+    length = lambda n: F.when(F.col(f"_flag_{n}"), F.col("idx") - F.coalesce(f"_stop_{n}", F.lit(-1))).otherwise(0).cast("long")
+    return out.select(*df.columns, *[length(n).alias(n) for n in flags])
+
+
 def runs(df: DataFrame, into: str, flag: Column, by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """df (with idx) and into: the length of the run of true flags that ends at
-    the row; 0 where the flag is false."""
-    out = carried(df.withColumn("_flag", flag), "_stop", F.when(~F.col("_flag"), F.col("idx")), by, block=block)
-    return out.withColumn(into, F.when(F.col("_flag"), F.col("idx") - F.coalesce("_stop", F.lit(-1))).otherwise(0).cast("long")).drop("_flag", "_stop")
+    """runs_all of one flag."""
+    return runs_all(df, {into: flag}, by, block)

@@ -22,9 +22,9 @@ def features16(spark, sf_dir) -> DataFrame:
     """idx, round_id and the sixteen features over 24 rows."""
     m, x = F.col("multiplier"), F.ln("multiplier")
     s = sequence(spark, sf_dir)
-    s = ordered.runs(ordered.runs(s, "low_run", m < 2), "high_run", m >= 10)
-    for t in (2, 5, 10, 25):
-        s = ordered.carried(s, f"_{t}", F.when(m >= t, F.col("idx"))).withColumn(f"gap{t}", F.col("idx") - F.coalesce(f"_{t}", F.lit(-1))).drop(f"_{t}")
+    levels = (2, 5, 10, 25)
+    s = ordered.runs_all(s, {"low_run": m < 2, "high_run": m >= 10})
+    s = ordered.carried_all(s, {f"at{t}": F.when(m >= t, F.col("idx")) for t in levels}).withColumns({f"gap{t}": F.col("idx") - F.coalesce(f"at{t}", F.lit(-1)) for t in levels})
     rate = lambda c, rows: F.avg(c.cast("int")).over(rows(-23, 0))
     s = ordered.framed(s, 23, 0, lambda rows: {
         "avg_log": F.avg(x).over(rows(-23, 0)), "sd_log": F.stddev_pop(x).over(rows(-23, 0)), "last_log": x,

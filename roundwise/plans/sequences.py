@@ -53,7 +53,7 @@ def next_hit(spark, sf_dir):
 def run_lengths(spark, sf_dir):
     """Runs below 2 and runs of 10 or more that end at the row."""
     m = F.col("multiplier")
-    c = ordered.runs(ordered.runs(sequence(spark, sf_dir), "low_run", m < 2), "high_run", m >= 10)
+    c = ordered.runs_all(sequence(spark, sf_dir), {"low_run": m < 2, "high_run": m >= 10})
     return c.select("round_id", "low_run", "high_run")
 
 
@@ -137,9 +137,7 @@ def state_vectors(spark, sf_dir):
     """Gaps at five thresholds and the last eight tokens."""
     s = sequence(spark, sf_dir).withColumn("token", token(F.col("multiplier")))
     levels = (5, 10, 20, 50, 100)
-    s = ordered.carried(s, "last5", F.when(F.col("multiplier") >= 5, F.col("idx")))
-    for t in levels[1:]:
-        s = ordered.carried(s, f"last{t}", F.when(F.col("multiplier") >= t, F.col("idx")))
+    s = ordered.carried_all(s, {f"last{t}": F.when(F.col("multiplier") >= t, F.col("idx")) for t in levels})
     s = ordered.framed(s, 7, 0, lambda rows: {"tokens": F.array_join(F.collect_list(F.col("token").cast("string")).over(rows(-7, 0)), "")})
     return s.select("round_id", *[(F.col("idx") - F.coalesce(f"last{t}", F.lit(-1))).alias(f"gap{t}") for t in levels], "tokens")
 

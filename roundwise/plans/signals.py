@@ -58,8 +58,8 @@ def state_neighbours(spark, sf_dir):
     """Waits after states like the last one, weighted by distance and recency,
     and the chance of a quick hit they give."""
     s = sequence(spark, sf_dir)
-    for t in (5, 10, 20, 50):
-        s = ordered.carried(s, f"_{t}", F.when(F.col("multiplier") >= t, F.col("idx"))).withColumn(f"g{t}", F.log1p(F.col("idx") - F.coalesce(f"_{t}", F.lit(-1)))).drop(f"_{t}")
+    levels = (5, 10, 20, 50)
+    s = ordered.carried_all(s, {f"at{t}": F.when(F.col("multiplier") >= t, F.col("idx")) for t in levels}).withColumns({f"g{t}": F.log1p(F.col("idx") - F.coalesce(f"at{t}", F.lit(-1))) for t in levels})
     s = ordered.carried(s, "nxt", F.when(F.col("multiplier") >= 10, F.col("idx")), forward=False, inclusive=False)
     s = ordered.framed(s, 23, 0, lambda rows: {"u": F.avg((F.col("multiplier") < 2).cast("int")).over(rows(-23, 0))})
     q = s.agg(F.max_by(F.struct("idx", "g5", "g10", "g20", "g50", "u"), "idx").alias("q"))
