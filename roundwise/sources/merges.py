@@ -63,7 +63,6 @@ class Table:
     def replace(self, df: DataFrame, partition_by: list[str] | None = None) -> None:
         name = f"v-{uuid.uuid4().hex}"
         df.write.partitionBy(*(partition_by or [])).parquet(f"{self.path}/{name}")
-        jvm = self.spark._jvm
         fs, pointer = self._fs(f"{self.path}/CURRENT")
         out = fs.create(pointer, True)
         out.write(bytearray(name.encode()))
