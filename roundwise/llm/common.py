@@ -61,3 +61,10 @@ def bounded_arrow(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows in a batch for Python, so that long texts stay in memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def free_name(name: str, docs: DataFrame) -> str:
+    """name, lengthened until docs has no such column."""
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name += "_"
+    return name

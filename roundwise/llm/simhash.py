@@ -11,8 +11,10 @@ differ in more than LIMIT bits. Dynamic programming picks them, and the number o
 partitions, by the estimated number of candidates and probes, from a bounded
 sample of fingerprints; the choice decides the cost, never the result. Each node
 is indexed by its bits in a partition and probes all values up to t_i bits away;
-the join verifies the whole distance. Components come from hooking and pointer
-jumping over the links, each round written to the shared folder.
+the join verifies the whole distance. A dense ball doesn't make all its pairs:
+probes meet one pivot a bucket, and then only fingerprints that are in different
+components by then. Components come from hooking and pointer jumping over the
+links, each round written to the shared folder.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like
 any other; repeated ids are separate rows; a null id never names a component
@@ -32,9 +34,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roundwise.llm.common import bounded_arrow, staged, table, unstage
+from roundwise.llm.graphs import components, hot_join, one_of_each, row_hash
 
 BITS, LIMIT, SHINGLE = 64, 3, 3
 SAMPLE = 2048
+#: Fingerprints of a bucket that one task holds against its probes.
+PART = 20_000
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -127,11 +132,12 @@ def signed(x: int) -> int:
 
 
 def _probe(k: int, key: Column):
-    return lambda flip: F.struct(F.lit(k).alias("k"), key.bitwiseXOR(flip).alias("key"))
+    return lambda flip: F.xxhash64(F.lit(k), key.bitwiseXOR(flip))
 
 
-def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Pairs (a, b), a < b, of column fp that differ in at most limit bits."""
+def buckets(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(bucket, a) of the index and (bucket, b) of the probes of nodes' fp. Equal
+    hashes of unlike buckets only add candidates."""
     n = nodes.count()
     sample = np.array([r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
     held, probes = [], []
@@ -139,57 +145,57 @@ def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
         mask = F.lit(signed(sum(1 << b for b in bits)))
         flips = [signed(sum(1 << b for b in some)) for j in range(t + 1) for some in combinations(bits, j)]
         key = F.col("fp").bitwiseAND(mask)
-        held.append(F.array(F.struct(F.lit(k).alias("k"), key.alias("key"))))
+        held.append(F.xxhash64(F.lit(k), key))
         probes.append(F.transform(F.array(*map(F.lit, flips)), _probe(k, key)))
-    index = nodes.select(F.col("fp").alias("a"), F.explode(F.concat(*held)).alias("s"))
-    probe = nodes.select(F.col("fp").alias("b"), F.explode(F.concat(*probes)).alias("s"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit)
-    return index.join(probe, (index["s.k"] == probe["s.k"]) & (index["s.key"] == probe["s.key"]) & near).select("a", "b").distinct()
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """(v, c): every vertex of the pairs (a, b) and the least vertex of its
-    component. Nothing but counts comes to the driver."""
-    edges = staged(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")), "edges")
-    label = staged(edges.groupBy("v").agg(F.min("u").alias("c")).select("v", F.least("v", "c").alias("c")), "labels")
-    while True:
-        seen = edges.join(label.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("c").alias("m"))
-        lower = label.join(seen, "v").where("m < c")
-        hooks = lower.select("v", "m").union(lower.select(F.col("c").alias("v"), "m")).groupBy("v").agg(F.min("m").alias("m"))
-        hooked = label.join(hooks, "v", "left").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-        jump = hooked.select(F.col("v").alias("c"), F.col("c").alias("next"))
-        after = staged(hooked.join(jump, "c", "left").select("v", "old", F.least("c", "next").alias("c")), "labels")
-        moved = after.where("old <> c").limit(1).count()
-        unstage(label)
-        label = after.select("v", "c")
-        label._staged_at = after._staged_at
-        if not moved:
-            unstage(edges)
-            return label
+    return nodes.select(F.explode(F.array(*held)).alias("bucket"), F.col("fp").alias("a")), nodes.select(F.explode(F.concat(*probes)).alias("bucket"), F.col("fp").alias("b"))
+
+
+def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Pairs (a, b), a < b, of column fp that differ in at most limit bits, enough
+    for the components of all such pairs. Probes first meet the least fingerprint
+    of their bucket; then, in buckets that still hold several components, only
+    fingerprints of different components meet, large buckets in parts of PART."""
+    near = lambda a, b: (F.col(a) != F.col(b)) & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= limit)
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    index, probe = (staged(x, "buckets") for x in buckets(nodes, limit))
+    pivots = index.groupBy("bucket").agg(F.min("a").alias("a"))
+    first = staged(hot_join(probe, pivots, "bucket").where(near("a", "b")).select(*pair).distinct(), "links")
+    of = components(first)
+    named = lambda side, v, c: side.join(of.select(F.col("v").alias(v), F.col("c").alias(c)), v, "left").withColumn(c, F.coalesce(c, v))
+    index_, probe_ = named(index, "a", "c"), named(probe, "b", "d")
+    held = index_.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
+    sought = probe_.groupBy("bucket").agg(F.min("d").alias("lo_"), F.max("d").alias("hi_"))
+    mixed = held.join(sought, "bucket").where("least(lo, lo_) < greatest(hi, hi_)").select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    mixed = staged(mixed, "mixed")
+    left = hot_join(index_, mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int"))
+    right = hot_join(probe_, mixed, "bucket").select("bucket", "b", "d", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rest = staged(left.join(right, ["bucket", "part"]).where((F.col("c") != F.col("d")) & near("a", "b")).select(*pair).distinct(), "links")
+    for done in (index, probe, mixed, of):
+        unstage(done)
+    return first.union(rest)
 
 
 def classes(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """rows (doc_id, fp) with component_id, the least doc_id reachable."""
+    """rows (doc_id, fp) with component_id, the least doc_id reachable (null only
+    if no member has another)."""
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("root")), "nodes")
-    of = components(staged(links(nodes, limit), "links")).select(F.col("v").alias("fp"), "c")
+    of = components(links(nodes, limit)).select(F.col("v").alias("fp"), "c")
     linked = nodes.join(of, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
     least = linked.groupBy("c").agg(F.min("root").alias("component_id"))
-    named = linked.join(least, "c").select("fp", "component_id")
-    return rows.join(named, "fp")
-
-
-def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row of each class stays: that of the least doc_id (then the least
-    fingerprint; of rows equal in both, one). Columns stay as they are."""
-    into = "_fp"
-    while into in docs.columns:
-        into += "_"
-    marked = with_fingerprint(docs, tuple(docs.columns), into)
-    rows = staged(with_fingerprint(docs.select("doc_id", "text"), ("doc_id",)), "fingerprints")
-    stay = classes(rows).groupBy("component_id").agg(F.min_by("fp", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "fp")).alias(into), F.min("doc_id").alias("_least"))
-    same = F.coalesce(marked["doc_id"], F.lit(-1)) == F.coalesce(stay["_least"], F.lit(-1))
-    kept = marked.join(stay, (marked[into] == stay[into]) & same & marked["doc_id"].eqNullSafe(stay["_least"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", into]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = hot_join(linked, least, "c").select("fp", "component_id")
+    return hot_join(rows, named, "fp").select(*rows.columns, "component_id")
+
+
+def dedup(spark: SparkSession, docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """One row of each class stays, with the columns of docs; see one_of_each."""
+    marked = docs.select("doc_id", "text", row_hash().alias("rid"))
+    rows = staged(with_fingerprint(marked, ("doc_id", "rid"), "key"), "fingerprints")
+    nodes = staged(rows.select(F.col("key").alias("fp")).distinct(), "nodes")
+    of = components(links(nodes, limit))
+    out = one_of_each(docs, rows, of)
+    for done in (rows, nodes, of):
+        unstage(done)
+    return out
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from roundwise.llm import simhash
+from roundwise.llm import simhash, similar
 
 M = (1 << 64) - 1
 
@@ -70,3 +70,27 @@ def test_dedup_keeps_columns_and_one_of_each(spark):
     got = simhash.dedup(spark, docs)
     assert got.columns == docs.columns and sorted(map(str, (r.doc_id for r in got.collect()))) == ["3", "7", "8", "None"]
     assert simhash.dedup(spark, docs.limit(0)).count() == 0
+
+
+def test_dedup_loses_no_text_that_differs(spark):
+    """Components are told apart by fingerprints, not by ids: null and repeated ids."""
+    pick = random.Random(8)
+    texts = [" ".join(f"{w}{pick.randrange(10**6)}" for _ in range(60)) for w in "abcdefgh"]
+    ids = [None, None, 1, 1, 1, 2, 2, None]
+    rows = [*zip(ids, texts, strict=True), (None, texts[0].upper()), (1, texts[2].upper()), (9, texts[3]), (2, texts[5]), (2, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for dedup in (simhash.dedup, similar.dedup):
+        got = dedup(spark, docs).collect()
+        assert sorted(r.text.lower() for r in got) == sorted(texts)
+        assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, ids))
+
+
+def test_dense_ball_and_hot_bucket(spark, monkeypatch):
+    """Many fingerprints within few bits of each other, and buckets split in parts."""
+    monkeypatch.setattr(simhash, "PART", 7)
+    pick = random.Random(6)
+    base = pick.getrandbits(64)
+    prints = sorted({base ^ sum(1 << b for b in pick.sample(range(64), pick.randrange(7))) for _ in range(250)})
+    rows = spark.createDataFrame([(i, simhash.signed(p)) for i, p in enumerate(prints)], "doc_id long, fp long")
+    got = {r.doc_id: r.component_id for r in simhash.classes(rows).collect()}
+    assert [got[i] for i in range(len(prints))] == brute_classes(list(range(len(prints))), prints)
