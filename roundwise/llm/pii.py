@@ -2,11 +2,10 @@
 
 Base kinds (email, ip, card, phone) are regular expressions plus checks. Their
 matches seed a bootstrap: the word before an identifier is its lexical pattern.
-Patterns and instances make a bipartite graph whose scores Spark iterates: a
-pattern is as good as the mean of its instances' scores (with one doubtful
-instance added), an unseeded instance as 1 - product(1 - score) of its patterns.
-Patterns of HIGH score and SEEDS different seeds are trusted, and what
-looks like an identifier after them is found as kind "id".
+Patterns and instances make a bipartite graph whose scores Spark iterates (see
+scores): trusted patterns make the unseen identifiers after them known, and those
+vouch for further patterns. What looks like an identifier after a trusted pattern
+is found as kind "id".
 
 Spans are kind:start:end in code points, end exclusive, found over whole texts.
 Positions come from the pieces between matches, which split() cuts with the same
@@ -22,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundwise.llm.common import staged, table
+from roundwise.llm.common import staged, table, unstage
+from roundwise.llm.graphs import hot_join, hot_keys
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: \G lets a match start inside a run where the last match ended.
@@ -34,10 +34,15 @@ PATTERNS = {
 }
 #: What a text must contain for a match, to skip the others cheaply.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CONTEXT = r"([A-Za-z]{2,20})[ :=#]{1,3}"
-IDENTIFIER = r"(?<![A-Za-z])[A-Za-z]{2,20}[ :=#]{1,3}(?=[A-Za-z_-]{0,20}[0-9])[A-Za-z0-9][A-Za-z0-9_-]{5,39}(?![A-Za-z0-9_-])"
-HIGH, SEEDS, ROUNDS = 0.8, 3, 3
+CONTEXT = r"(\p{L}{2,20})[ :=#]{1,3}"
+IDENTIFIER = r"(?<!\p{L})\p{L}{2,20}[ :=#]{1,3}(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_-]{5,}+"
+#: Characters before a match that may hold its context.
+BEFORE = 24
+HIGH, SEEDS, ROUNDS = 0.7, 3, 6
+#: Trusted patterns that are broadcast or written into an expression.
 FEW = 10_000
+#: Texts to redact are cut into pieces of 2**CHUNK characters.
+CHUNK = 10
 
 
 def _digits(m: Column) -> Column:
@@ -65,15 +70,31 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, op) -> Column:
+    """For each element of an array of ints >= 0, op (a sum or the greatest) over
+    those before it, in linear time: blocks of 64, blocks of blocks, and above."""
+    fold = lambda v, first=None: F.aggregate(v, F.lit(0) if first is None else first, op)
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(v) - 1, 6)), lambda b: fold(F.slice(v, b * 64 + 1, F.lit(64))))
+    inside = lambda v, up: F.transform(v, lambda _, i: fold(F.slice(v, i - i.bitwiseAND(F.lit(63)) + 1, i.bitwiseAND(F.lit(63))), F.get(up, F.shiftright(i, 6))))
+    top = lambda v: F.transform(v, lambda _, i: fold(F.slice(v, F.lit(1), i)))
+    whole = lambda v, s1, s2: let(top(s2), lambda p2: let(inside(s1, p2), lambda p1: inside(v, p1)))
+    found = let(values, lambda v: let(blocks(v), lambda s1: let(blocks(s1), lambda s2: whole(v, s1, s2))))
+    return F.when(F.size(values) > 0, found).otherwise(F.array().cast("array<int>"))
+
+
 def _located(text: Column, pattern: str, found: Column) -> Column:
-    """(start, end, value) of each match in found, the text's matches."""
-    step = lambda a, x: F.struct(
-        (a["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
-        F.array_append(a["out"], F.struct((a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"), x["value"].alias("value"))).alias("out"),
-    )
-    pieces = F.zip_with(F.slice(F.split(text, pattern), F.lit(1), F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(F.size(found) > 0, F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])).otherwise(none)
+    """(start, end, value, before) of each match in found, the text's matches;
+    before: the end of the text between the match and the last one."""
+    pieces = F.zip_with(F.slice(F.split(text, pattern), F.lit(1), F.size(found)), found, lambda g, v: F.struct(F.length(g).alias("gap"), F.length(v).alias("long"), v.alias("value"), F.right(g, F.lit(BEFORE)).alias("before")))
+    placed = lambda p: F.zip_with(p, running(F.transform(p, lambda x: x["gap"] + x["long"]), lambda a, x: a + x), lambda x, at: F.struct(
+        (at + x["gap"]).alias("start"), (at + x["gap"] + x["long"]).alias("end"), x["value"].alias("value"), x["before"].alias("before")))
+    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
+    return F.when(F.size(found) > 0, let(pieces, placed)).otherwise(none)
 
 
 def with_matches(docs: DataFrame, text: str = "text", into: str = "_pii") -> DataFrame:
@@ -100,26 +121,53 @@ def _check(kind: str):
 
 
 def scores(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """edges: distinct (pattern, instance, seed). (pattern, score, seeds)."""
-    instance = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("s"), F.max("seed").alias("fixed"))
-    pattern = None
+    """edges: distinct (pattern, instance, seed). (pattern, score, known).
+
+    Round by round: a pattern's score is the mean of its instances' scores, with
+    one doubtful instance added; it is trusted with HIGH score and SEEDS known
+    instances. An instance is known, with score 1, if it is a seed; else its score
+    is 1 - product(1 - score) over its trusted patterns, so at least HIGH if it has
+    one. What a trusted pattern finds so vouches for further patterns. Rounds end
+    when no pattern is newly trusted."""
+    pairs = edges.select("pattern", "instance")
+    instance = edges.groupBy("instance").agg(F.max("seed").alias("fixed"))
+    hot = hot_keys(pairs, "instance")
+    found, before = None, -1
+    vouched = None
     for _ in range(rounds):
-        pattern = edges.join(instance, "instance").groupBy("pattern").agg((F.sum("s") / (F.count(F.lit(1)) + 1)).alias("score"), F.count_if(F.col("fixed")).alias("seeds"))
+        s = F.when(F.col("fixed"), F.lit(1.0))
+        if vouched is None:
+            held = instance.select("instance", s.otherwise(0.0).alias("s"))
+        else:
+            held = instance.join(vouched, "instance", "left").select("instance", s.otherwise(F.coalesce("s", F.lit(0.0))).alias("s"))
+        now = staged(hot_join(pairs, held, "instance", hot).groupBy("pattern").agg((F.sum("s") / (F.count(F.lit(1)) + 1)).alias("score"), F.count_if(F.col("s") >= HIGH).alias("known")), "patterns")
+        unstage(found)
+        found = now
+        good = now.where(_TRUSTED).select("pattern", "score")
+        n = good.count()
+        if n == before:
+            break
+        before = n
         doubt = F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999999))))
-        instance = edges.join(pattern, "pattern").groupBy("instance").agg(F.max("seed").alias("fixed"), doubt.alias("d")).select("instance", "fixed", F.when(F.col("fixed"), 1.0).otherwise(1 - F.exp("d")).alias("s"))
-    return pattern
+        vouched = pairs.join(F.broadcast(good) if n <= FEW else good, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("s"))
+    return found
+
+
+_TRUSTED = f"score >= {HIGH} AND known >= {SEEDS}"
 
 
 def trusted(docs: DataFrame, text: str = "text") -> DataFrame:
     """Column pattern: the contexts of high score over all docs."""
-    t = F.coalesce(F.col("text"), F.lit(""))
     m = with_matches(docs.select(F.col(f"`{text}`").alias("text")))
-    seeds = F.flatten(F.array(*[F.transform(F.col("_pii")[k], lambda x: F.struct(F.lower(F.regexp_extract(F.substring(t, F.greatest(x["start"] - 22, F.lit(1)), F.least(x["start"], F.lit(23))), CONTEXT + "$", 1)).alias("pattern"), x["value"].alias("instance"), F.lit(True).alias("seed"))) for k in PATTERNS]))
+    word = lambda x: F.lower(F.regexp_extract(x, CONTEXT + "$", 1))
+    seeds = F.flatten(F.array(*[F.transform(F.col("_pii")[k], lambda x: F.struct(word(x["before"]).alias("pattern"), x["value"].alias("instance"), F.lit(True).alias("seed"))) for k in PATTERNS]))
     others = F.transform(F.col("_pii")["candidates"], lambda x: F.struct(F.lower(F.regexp_extract(x["value"], CONTEXT, 1)).alias("pattern"), F.regexp_replace(x["value"], "^" + CONTEXT, "").alias("instance"), F.lit(False).alias("seed")))
     # explode_outer: explode would infer a filter that computes the arrays again
     pairs = m.select(F.explode_outer(F.concat(seeds, others)).alias("x")).select("x.*").where("pattern <> ''")
     edges = staged(pairs.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "contexts")
-    return scores(edges).where((F.col("score") >= HIGH) & (F.col("seeds") >= SEEDS)).select("pattern")
+    out = scores(edges).where(_TRUSTED).select("pattern")
+    unstage(edges)
+    return out
 
 
 def _spans(matches: Column, ids: Column) -> Column:
@@ -168,12 +216,21 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         mark += "_"
     found = with_spans(docs, trusted(docs, text), text, mark)
     t, name = F.col(f"`{text}`"), F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    step = lambda a, x: F.when(
-        x["start"] >= a["at"],
-        F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, x["start"] - a["at"]), F.get(name, x["kind"])).alias("out")),
-    ).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out")))
-    cut = F.aggregate(F.col(mark), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    changed = F.when(F.size(F.col(mark)) > 0, cut).otherwise(t)
+    low = lambda at: at.bitwiseAND(F.lit((1 << CHUNK) - 1))
+    high = lambda at: F.shiftright(at, CHUNK)
+    pieces = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{1 << CHUNK}}}"), F.lit(0))
+
+    def part(c: Column, a: Column, b: Column) -> Column:
+        """Characters a to b of the text in pieces c, without a walk over it all."""
+        over = F.concat(F.substring(F.get(c, high(a)), low(a) + 1, F.lit(1 << CHUNK)), F.array_join(F.slice(c, high(a) + 2, high(b) - high(a) - 1), ""), F.substring(F.coalesce(F.get(c, high(b)), F.lit("")), F.lit(1), low(b)))
+        return F.when(a >= b, F.lit("")).when(high(a) == high(b), F.substring(F.get(c, high(a)), low(a) + 1, b - a)).otherwise(over)
+
+    spans = F.col(mark)
+    ends = running(F.transform(spans, lambda x: x["end"]), lambda a, x: F.greatest(a, x))
+    kept = F.filter(F.zip_with(spans, ends, lambda x, at: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), at.alias("at"))), lambda x: x["start"] >= x["at"])
+    last = F.array_max(F.transform(spans, lambda x: x["end"]))
+    cut = lambda c: F.concat(F.array_join(F.transform(kept, lambda x: F.concat(part(c, x["at"], x["start"]), F.get(name, x["kind"]))), ""), part(c, last, F.length(t)))
+    changed = F.when(F.size(spans) > 0, let(pieces, cut)).otherwise(t)
     return found.select(*[changed.alias(c) if c == text else o for c, o in zip(docs.columns, own, strict=True)])
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -61,19 +62,80 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert {r.doc_id: r.s for r in again} == got
 
 
-def test_scores_equal_brute_force(spark):
-    edges = [("p", "a", True), ("p", "b", True), ("p", "c", False), ("q", "c", False), ("q", "d", False), ("r", "a", True)]
+def brute_scores(edges, rounds=pii.ROUNDS):
     seeds = {i for _, i, s in edges if s}
     score = {i: float(i in seeds) for _, i, _ in edges}
-    for _ in range(pii.ROUNDS):
-        pattern = {p: sum(score[i] for q, i, _ in edges if q == p) / (1 + sum(q == p for q, _, _ in edges)) for p, _, _ in edges}
+    before = None
+    for _ in range(rounds):
+        of = {p: [i for q, i, _ in edges if q == p] for p, _, _ in edges}
+        pattern = {p: sum(score[i] for i in x) / (1 + len(x)) for p, x in of.items()}
+        good = {p for p, x in of.items() if pattern[p] >= pii.HIGH and sum(score[i] >= pii.HIGH for i in x) >= pii.SEEDS}
+        if good == before:
+            break
+        before = good
         for i in score:
             left = 1.0
-            for p, j, _ in edges:
-                left *= 1 - pattern[p] if j == i else 1
+            for p in good:
+                left *= 1 - pattern[p] if i in of[p] else 1
             score[i] = 1.0 if i in seeds else 1 - left
-    got = {r.pattern: r.score for r in pii.scores(spark.createDataFrame(edges, "pattern string, instance string, seed boolean")).collect()}
-    assert all(abs(got[p] - pattern[p]) < 1e-9 for p in pattern)
+    return pattern, good
+
+
+def hops():
+    """Seeds make one trusted, what it finds makes two trusted, and that three."""
+    edges = [("one", f"s{i}", True) for i in range(100)] + [("one", f"f{i}", False) for i in range(8)]
+    edges += [("two", f"f{i}", False) for i in range(8)] + [("three", f"g{i}", False) for i in range(9)] + [("three", "f0", False)]
+    return edges + [("half", f"s{i}", True) for i in range(6)] + [("half", f"h{i}", False) for i in range(6)]
+
+
+def test_scores_equal_brute_force(spark):
+    few = [("p", "a", True), ("p", "b", True), ("p", "c", False), ("q", "c", False), ("q", "d", False), ("r", "a", True)]
+    for edges in (few, hops()):
+        pattern, _ = brute_scores(edges)
+        got = {r.pattern: r.score for r in pii.scores(spark.createDataFrame(edges, "pattern string, instance string, seed boolean")).collect()}
+        assert got.keys() == pattern.keys() and all(abs(got[p] - pattern[p]) < 1e-9 for p in pattern)
+    assert brute_scores(hops())[1] == {"one", "two"}
+
+
+def test_second_hop_patterns_are_found(spark):
+    rows = [f"dial +1 (499) 555-65{i:02d} now" for i in range(100)] + [f"dial KX-{i}{i}-4711{i} now" for i in range(8)]
+    rows += [f"badge KX-{i}{i}-4711{i}" for i in range(8)] + ["badge ZZ-99-00001 here", "lot AB-12-345678"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r.pattern for r in pii.trusted(docs).collect()) == ["badge", "dial"]
+    got = {r.doc_id: r.s for r in pii.with_spans(docs, pii.trusted(docs)).select("doc_id", pii.joined(F.col("_spans")).alias("s")).collect()}
+    assert len(rows) == 118 and got[108] == "id:6:17" and got[116] == "id:6:17" and got[117] == ""
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    n = 40_000
+    text = " ".join(f"u{i}@x.org" for i in range(n))
+    docs = spark.createDataFrame([(1, text, 1), (2, None, 1), (1, text[:8], 1)], "doc_id long, text string, lang int")
+    began = time.time()
+    out = pii.redact(docs).collect()
+    assert out[0].text == " ".join(["<EMAIL>"] * n) and out[2].text == "<EMAIL>" and out[1].text is None
+    assert time.time() - began < 60
+
+
+def test_redaction_over_pieces_equals_plain(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CHUNK", 3)
+    pick = random.Random(11)
+    texts = ["".join(pick.choice(PARTS) for _ in range(pick.randrange(40))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    for i, t in enumerate(texts):
+        out, at = "", 0
+        for a, k, b in brute(t):
+            if a >= at:
+                out += t[at:a] + f"<{pii.KINDS[k].upper()}>"
+            at = max(at, b)
+        assert got[i] == out + t[at:], t
+
+
+def test_empty_table_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "x@y.z"), (1, "x@y.z"), (None, None)], "doc_id long, text string")
+    got = pii.with_spans(docs, pii.trusted(docs)).select("doc_id", pii.joined(F.col("_spans")).alias("s")).collect()
+    assert sorted((str(r.doc_id), r.s) for r in got) == [("1", "email:0:5"), ("1", "email:0:5"), ("None", "")]
+    assert pii.redact(docs.limit(0)).count() == 0 and pii.trusted(docs.limit(0)).count() == 0
 
 
 def test_redaction_keeps_columns(spark):
