@@ -34,12 +34,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roundwise.llm.common import bounded_arrow, staged, table, unstage
-from roundwise.llm.graphs import components, hot_join, one_of_each, row_hash
+from roundwise.llm.graphs import components, hot_join, hot_keys, one_of_each, row_hash
 
 BITS, LIMIT, SHINGLE = 64, 3, 3
 SAMPLE = 2048
-#: Fingerprints of a bucket that one task holds against its probes.
-PART = 20_000
+#: Into how many parts a hot bucket is split.
+PARTS = 32
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -135,8 +135,8 @@ def _probe(k: int, key: Column):
     return lambda flip: F.xxhash64(F.lit(k), key.bitwiseXOR(flip))
 
 
-def buckets(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(bucket, a) of the index and (bucket, b) of the probes of nodes' fp. Equal
+def search(nodes: DataFrame, limit: int) -> tuple[Column, Column]:
+    """Arrays of a node's buckets in the index, and of those it probes. Equal
     hashes of unlike buckets only add candidates."""
     n = nodes.count()
     sample = np.array([r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
@@ -147,31 +147,30 @@ def buckets(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
         key = F.col("fp").bitwiseAND(mask)
         held.append(F.xxhash64(F.lit(k), key))
         probes.append(F.transform(F.array(*map(F.lit, flips)), _probe(k, key)))
-    return nodes.select(F.explode(F.array(*held)).alias("bucket"), F.col("fp").alias("a")), nodes.select(F.explode(F.concat(*probes)).alias("bucket"), F.col("fp").alias("b"))
+    return F.array(*held), F.concat(*probes)
 
 
 def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Pairs (a, b), a < b, of column fp that differ in at most limit bits, enough
     for the components of all such pairs. Probes first meet the least fingerprint
-    of their bucket; then, in buckets that still hold several components, only
-    fingerprints of different components meet, large buckets in parts of PART."""
-    near = lambda a, b: (F.col(a) != F.col(b)) & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= limit)
+    of their bucket; then only fingerprints of different components meet. Buckets
+    that hold over 1/SHARE of the index are split into PARTS."""
+    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit)
     pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    index, probe = (staged(x, "buckets") for x in buckets(nodes, limit))
+    held, probes = search(nodes, limit)
+    index = nodes.select(F.explode(held).alias("bucket"), F.col("fp").alias("a"))
     pivots = index.groupBy("bucket").agg(F.min("a").alias("a"))
-    first = staged(hot_join(probe, pivots, "bucket").where(near("a", "b")).select(*pair).distinct(), "links")
+    probe = nodes.select(F.explode(probes).alias("bucket"), F.col("fp").alias("b"))
+    first = staged(probe.join(pivots, "bucket").where(near).select(*pair).distinct(), "links")
     of = components(first)
-    named = lambda side, v, c: side.join(of.select(F.col("v").alias(v), F.col("c").alias(c)), v, "left").withColumn(c, F.coalesce(c, v))
-    index_, probe_ = named(index, "a", "c"), named(probe, "b", "d")
-    held = index_.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
-    sought = probe_.groupBy("bucket").agg(F.min("d").alias("lo_"), F.max("d").alias("hi_"))
-    mixed = held.join(sought, "bucket").where("least(lo, lo_) < greatest(hi, hi_)").select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    mixed = staged(mixed, "mixed")
-    left = hot_join(index_, mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int"))
-    right = hot_join(probe_, mixed, "bucket").select("bucket", "b", "d", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rest = staged(left.join(right, ["bucket", "part"]).where((F.col("c") != F.col("d")) & near("a", "b")).select(*pair).distinct(), "links")
-    for done in (index, probe, mixed, of):
-        unstage(done)
+    named = staged(nodes.select("fp").join(of.withColumnRenamed("v", "fp"), "fp", "left").withColumn("c", F.coalesce("c", "fp")), "named")
+    hot = hot_keys(index, "bucket")
+    spread = lambda bucket, parts: F.when(bucket.isin(hot), parts).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+    left = named.select("fp", "c", F.explode(held).alias("bucket")).select("bucket", F.get(spread(F.col("bucket"), F.array(F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int"))), F.lit(0)).alias("part"), F.col("fp").alias("a"), "c")
+    right = named.select("fp", "c", F.explode(probes).alias("bucket")).select("bucket", F.explode(spread(F.col("bucket"), F.sequence(F.lit(0), F.lit(PARTS - 1)))).alias("part"), F.col("fp").alias("b"), F.col("c").alias("d"))
+    rest = staged(left.join(right, ["bucket", "part"]).where((F.col("c") != F.col("d")) & near).select(*pair).distinct(), "links")
+    unstage(named)
+    unstage(of)
     return first.union(rest)
 
 

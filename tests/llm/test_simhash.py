@@ -85,9 +85,8 @@ def test_dedup_loses_no_text_that_differs(spark):
         assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, ids))
 
 
-def test_dense_ball_and_hot_bucket(spark, monkeypatch):
-    """Many fingerprints within few bits of each other, and buckets split in parts."""
-    monkeypatch.setattr(simhash, "PART", 7)
+def test_dense_ball_and_hot_bucket(spark):
+    """Many fingerprints within few bits of each other, in buckets that are split."""
     pick = random.Random(6)
     base = pick.getrandbits(64)
     prints = sorted({base ^ sum(1 << b for b in pick.sample(range(64), pick.randrange(7))) for _ in range(250)})
