@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,8 @@ from roundwise.llm import secrets
 def brute(text):
     out = []
     for k, r in enumerate(secrets.RULES):
-        for m in re.finditer(r.pattern, text or "", r.flags):
-            if len(m[r.group]) >= r.least:
+        for m in re.finditer(f"{r.head}(?P<body>{r.body})", text or "", r.flags):
+            if len(m["body"]) >= r.least:
                 out.append((m.start(), k, m.end()))
     return sorted(out)
 
@@ -30,14 +31,40 @@ def test_equals_the_expressions_on_whole_texts():
 
 
 def test_lanes_equal_one_by_one():
-    a = secrets.Scanner().automaton
-    data = np.frombuffer("".join(random.Random(2).choice(PARTS) for _ in range(3000)).encode(), np.uint8)
-    state, want = 0, []
-    for i, b in enumerate(data):
-        state = int(a.steps[state + a.classes[b]])
-        if a.rules[state // a.width]:
-            want.append((i, int(a.rules[state // a.width])))
-    assert list(a.scan(data)) == want == list(a.scan(data, 1000))
+    for a in (secrets.Scanner().lines, secrets.Scanner().starts):
+        data = np.frombuffer("".join(random.Random(2).choice(PARTS) for _ in range(3000)).encode(), np.uint8)
+        state, want = 0, []
+        for b in data:
+            state = int(a.steps[state + a.classes[b]])
+            want.append(int(a.bits[state]))
+        for chunk in (1 << 20, 1000):
+            assert np.concatenate([x for _, x in a.scan(data, chunk)]).tolist() == want
+
+
+def test_lines_over_chunks(monkeypatch):
+    """Lines and texts that end at, before and after the ends of chunks."""
+    scan = secrets.Automaton.scan
+    monkeypatch.setattr(secrets.Automaton, "scan", lambda self, data, chunk=37: scan(self, data, chunk))
+    pick = random.Random(7)
+    texts = ["".join(pick.choice([*PARTS, "\n", "\n"]) for _ in range(pick.randrange(12))) for _ in range(400)]
+    assert secrets.Scanner().batch(pa.array(texts)) == [brute(t) for t in texts]
+
+
+def test_long_texts_need_little_memory():
+    scanner = secrets.Scanner()
+    text = pa.array(["0123456789abcdef" * (5 << 16)])
+    tracemalloc.start()
+    assert scanner.batch(text) == [[(0, 2, 5 << 20)]]
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    lines = "\n".join(f"é token={i:08d}" for i in range(20_000))
+    assert scanner.batch(pa.array([lines])) == [brute(lines)]
+
+
+def test_empty_table_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "token=abcdef1", 5), (1, "token=abcdef1", 5), (None, "AKIA", 5)], "doc_id long, text string, n_hex int")
+    assert sorted((str(r.doc_id), r.spans) for r in secrets.scan(rows).collect()) == [("1", "assign:0:13"), ("1", "assign:0:13"), ("None", "")]
+    assert secrets.scan(rows.limit(0)).count() == 0
 
 
 def test_query_columns(spark):
