@@ -24,10 +24,11 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from roundwise.llm.common import bounded_arrow, table
+from roundwise.llm.common import pieces, table
 
 MASK = (1 << 64) - 1
-MEMO = 200_000
+#: Pre-tokens that a worker keeps, and the longest of them.
+MEMO, LONG = 200_000, 64
 
 
 def _mix(h: int, d: int) -> int:
@@ -113,7 +114,8 @@ class Memo(dict):
         raw = token.encode()
         i = self.index.find(raw)
         out = np.array([self.ids[i]] if i >= 0 else merged(raw, self.ranks), dtype="<u4").tobytes()
-        self[token] = out
+        if len(token) <= LONG:
+            self[token] = out
         return out
 
 
@@ -164,7 +166,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, outputs: tuple[str, .
     little-endian unsigned 32-bit), decoded (binary), ids_sha256, decoded_sha256,
     as named in outputs. The rank file is read on the driver."""
     spark = docs.sparkSession
-    bounded_arrow(spark)
     sent = spark.sparkContext.broadcast(codec(ranks_path, pattern))
     kinds = {"n_tokens": "long", "ids": "binary", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
     types = dict(docs.dtypes)
@@ -176,7 +177,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, outputs: tuple[str, .
         if mine is None:
             _here.clear()
             mine = _here[key] = sent.value
-        for batch in batches:
+        for batch in pieces(batches):
             got: dict[str, list] = {o: [] for o in outputs}
             for value in batch.column(len(keep)):
                 ids = mine.encode(value.as_py() or "")

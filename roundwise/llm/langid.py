@@ -2,11 +2,13 @@
 
 A known word adds its log frequency in each language. An unseen word falls back
 to character n-grams: the longest order of which any n-gram is known decides, by
-the mean log frequency of its known n-grams. Words count equally.
+the mean log frequency of its known n-grams. Words count equally; they are runs of
+letters and the marks that go with them.
 
-The model is fitted on a bounded sample: of each language about SAMPLE rows at
-most, picked by a hash of their id, and the MAX_WORDS most frequent (language,
-word) pairs of those. So its size doesn't grow with the corpus.
+The model is fitted on a bounded sample: of each language about SAMPLE rows, or of
+many languages ROWS / languages each, picked by a hash of their id. All words of
+those rows are kept, and the tables hold only counts that are there, so what a
+model takes follows the sample and neither the corpus nor the number of languages.
 
 Defined results: null text, or one without a letter, is "und" with score 0; so is
 everything if nothing can be learned. Null ids are not held out and not learned
@@ -26,31 +28,54 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundwise.llm.common import bounded_arrow, table
+from roundwise.llm.common import pieces, table
 
-SAMPLE = 3000
-MAX_WORDS = 120_000
+SAMPLE, ROWS = 3000, 60_000
 ORDERS = (4, 3, 2, 1)
-MEMO = 400_000
-WORD = regex.compile(r"\p{L}+")
+#: Bytes of scores that a worker keeps of words it has met, and the longest such word.
+MEMO, LONG = 64 << 20, 40
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
+
+class Table:
+    """Log frequencies of keys in each language, add-half smoothed: a base for keys
+    a language doesn't have, and for those it has what they add."""
+
+    def __init__(self, counts: dict[str, dict[str, float]], langs: list[str]):
+        """counts: language to key to count."""
+        every = sorted(set().union(*counts.values())) if counts else []
+        self.index = {k: i for i, k in enumerate(every)}
+        sums = np.array([sum(counts[x].values()) + 0.5 * len(every) for x in langs])
+        self.base = np.log(0.5) - np.log(np.maximum(sums, 0.5))
+        key = np.concatenate([np.zeros(0, np.int64), *[np.fromiter((self.index[k] for k in counts[x]), np.int64, len(counts[x])) for x in langs]])
+        lang = np.concatenate([np.zeros(0, np.int32), *[np.full(len(counts[x]), i, np.int32) for i, x in enumerate(langs)]])
+        more = np.concatenate([np.zeros(0), *[np.log(np.fromiter(counts[x].values(), float, len(counts[x])) + 0.5) - np.log(0.5) for x in langs]])
+        order = np.argsort(key, kind="stable")
+        self.lang, self.more = lang[order], more[order].astype(np.float32)
+        self.start = np.searchsorted(key[order], np.arange(len(every) + 1))
+
+    def row(self, i: int) -> np.ndarray:
+        out = self.base.copy()
+        part = slice(self.start[i], self.start[i + 1])
+        out[self.lang[part]] += self.more[part]
+        return out
 
 
 class Rows(dict):
-    """Word to the number of its row of scores. Known words come first; unseen
-    words get their row when met, and lose it when MEMO of them are held."""
+    """Word to the number of its row of scores, made when the word is met."""
 
     def __init__(self, model: Model):
-        super().__init__((w, i) for i, w in enumerate(model.words))
-        self.model, self.n = model, len(model.words)
-        self.scores = np.zeros((self.n + 1024, len(model.langs)))
-        if self.n:
-            self.scores[: self.n] = list(model.words.values())
+        super().__init__()
+        self.model, self.n, self.spent = model, 0, 0
+        self.scores = np.zeros((1024, len(model.langs)))
 
     def __missing__(self, w: str) -> int:
         if self.n == len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[self.n] = self.model.unseen(w)
-        self[w] = self.n
+        self.scores[self.n] = self.model.row(w)
+        if len(w) <= LONG:
+            self[w] = self.n
+        self.spent += 16 * len(self.model.langs) + 150
         self.n += 1
         return self.n - 1
 
@@ -58,17 +83,21 @@ class Rows(dict):
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: Table
+    grams: dict[int, Table]
     rows: Rows | None = None
 
     def __getstate__(self):
         return self.__dict__ | {"rows": None}
 
-    def unseen(self, w: str) -> np.ndarray:
+    def row(self, w: str) -> np.ndarray:
+        """The scores of a word in each language."""
+        if (i := self.words.index.get(w)) is not None:
+            return self.words.row(i)
         marked = f" {w} "
         for n in ORDERS:
-            found = [g for i in range(len(marked) - n + 1) if (g := self.grams.get(marked[i : i + n])) is not None]
+            known = self.grams[n]
+            found = [known.row(g) for i in range(len(marked) - n + 1) if (g := known.index.get(marked[i : i + n])) is not None]
             if found:
                 return sum(found) / len(found)
         return np.zeros(len(self.langs))
@@ -77,21 +106,16 @@ class Model:
         words = WORD.findall((text or "").lower())
         if not words or not self.langs:
             return "und", 0.0
-        if self.rows is None or self.rows.n > len(self.words) + MEMO:
-            self.rows = Rows(self)
-        at = list(map(self.rows.__getitem__, words))
-        total = self.rows.scores[at].sum(axis=0)
+        total = np.zeros(len(self.langs))
+        for at in range(0, len(words), 100_000):
+            if self.rows is None or self.rows.spent > MEMO:
+                self.rows = Rows(self)
+            numbers = list(map(self.rows.__getitem__, words[at : at + 100_000]))
+            total += self.rows.scores[numbers].sum(axis=0)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 
 
-def logs(counts: dict[str, Counter], langs: list[str]) -> dict[str, np.ndarray]:
-    """Log frequency in each language of all that any has, add-half smoothed."""
-    every = sorted(set().union(*counts.values())) if counts else []
-    sums = np.array([sum(counts[x].values()) + 0.5 * len(every) for x in langs])
-    return {k: np.log((np.array([counts[x][k] for x in langs]) + 0.5) / sums) for k in every}
-
-
 def fit(rows: list[tuple[str, str, int]]) -> Model:
     """rows: language, word, count."""
     words: dict[str, Counter] = defaultdict(Counter)
@@ -105,37 +129,35 @@ def fit(rows: list[tuple[str, str, int]]) -> Model:
             for i in range(len(marked) - k + 1):
                 c[marked[i : i + k]] += weight
     langs = sorted(words)
-    known = {w: v for w, v in logs(words, langs).items()}
-    parts: dict[str, np.ndarray] = {}
-    for k in ORDERS:
-        parts |= logs(grams[k], langs)
-    return Model(langs, known, parts)
+    return Model(langs, Table(words, langs), {k: Table(grams[k], langs) for k in ORDERS})
 
 
 def held_out(key: Column, mod: int, out: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % mod == out, F.lit(False))
 
 
-def learn(docs: DataFrame, learnable: Column, sample: int = SAMPLE, max_words: int = MAX_WORDS) -> Model:
+def learn(docs: DataFrame, learnable: Column, sample: int = SAMPLE, rows: int = ROWS) -> Model:
     """docs: doc_id, lang, text. Counts words of the sampled learnable rows in
-    Spark; what comes to the driver is bounded by max_words."""
-    rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    Spark; what comes to the driver is the words of at most about rows rows."""
+    known = docs.where(learnable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
+    each = min(sample, rows // max(1, len(sizes)))
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000)) / 1e6
-    picked = rows.join(F.broadcast(sizes), "lang").where(share < sample / F.col("n"))
-    words = picked.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word"))
-    counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang", "word").limit(max_words)
-    return fit([tuple(r) for r in counts.collect()])
+    limits = docs.sparkSession.createDataFrame([(r["lang"], each / r["n"]) for r in sizes], "lang string, share double")
+    picked = known.join(F.broadcast(limits), "lang").where(share < F.col("share"))
+    words = picked.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}[\\p{L}\\p{M}]*', 0)")).alias("word"))
+    counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    langs, words_, ns = (counts[c].to_pylist() for c in ("lang", "word", "n"))
+    return fit(sorted(zip(langs, words_, ns, strict=True)))
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     spark = docs.sparkSession
-    bounded_arrow(spark)
     sent = spark.sparkContext.broadcast(model)
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [sent.value.predict(x.as_py()) for x in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 

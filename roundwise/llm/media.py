@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from roundwise.llm.common import bounded_arrow, table
+from roundwise.llm.common import pieces, table
 
 WIDTH = 64
 
@@ -121,14 +121,13 @@ def as_media(docs: DataFrame, kind: str = "pgm", outputs: tuple[str, ...] = ("me
     """keep's columns and, of each whole text: media (the stored picture), tile
     (NPY), dhash, n_bytes, payload_bytes, payload_sha256, tail_crc32,
     media_bytes, media_sha256, feature, as named in outputs."""
-    bounded_arrow(docs.sparkSession)
     write, read = CODECS[kind]
     kinds = {"media": "binary", "tile": "binary", "dhash": "string", "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
     arrow = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             got: dict[str, list] = {o: [] for o in outputs}
             for value in batch.column(len(keep)):
                 raw, n = payload(value.as_py())

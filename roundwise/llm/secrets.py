@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from roundwise.llm.common import bounded_arrow, table
+from roundwise.llm.common import pieces, table
 
 try:
     from re import _constants as sre
@@ -366,13 +366,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...]
     """keep's columns, a count n_<kind> for each base rule, base_sha256 (of the
     base rules' joined spans) and spans (all spans, joined)."""
     spark = docs.sparkSession
-    bounded_arrow(spark)
     sent = spark.sparkContext.broadcast(Scanner(rules))
     types = dict(docs.dtypes)
     base = [k for k, r in enumerate(rules) if r.base]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = sent.value.batch(batch.column(len(keep)))
             counts = [pa.array([sum(s[1] == k for s in x) for x in found], pa.int64()) for k in base]
             digest = [hashlib.sha256(joined([s for s in x if s[1] in base], rules).encode()).hexdigest() for x in found]

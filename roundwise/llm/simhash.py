@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundwise.llm.common import bounded_arrow, staged, table, unstage
+from roundwise.llm.common import pieces, staged, table, unstage
 from roundwise.llm.graphs import components, hot_join, hot_keys, one_of_each, row_hash
 
 BITS, LIMIT, SHINGLE = 64, 3, 3
@@ -63,11 +63,10 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 def with_fingerprint(docs: DataFrame, keep: tuple[str, ...], into: str = "fp", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """keep's columns of docs and the fingerprint as a signed long."""
-    bounded_arrow(docs.sparkSession)
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             got = np.array([fingerprint(x.as_py(), size) for x in batch.column(len(keep))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(got)], names=[*keep, into])
 

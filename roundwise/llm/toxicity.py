@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundwise.llm.common import bounded_arrow, table
+from roundwise.llm.common import pieces, table
 from roundwise.llm.langid import held_out
 
 SAMPLE = 1200
@@ -243,12 +243,11 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = S
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     spark = docs.sparkSession
-    bounded_arrow(spark)
     sent = spark.sparkContext.broadcast(model)
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             got = sent.value.score_all(batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(got, pa.float64())], names=[*keep, "score"])
 
