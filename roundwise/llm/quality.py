@@ -1,18 +1,25 @@
 """Quality rules with risk-controlled thresholds (DataFrame functions only).
 
-Each rule rejects a document whose feature is above a cutoff. A labelled holdout
-of good documents tells, for each stratum (language), rule and candidate cutoff,
-how many good ones the cutoff would reject: k of n. A cutoff may be used if the
-exact binomial test rejects "the false rejection rate is over alpha / rules" at
-level delta / (strata * rules * cutoffs), the Bonferroni correction over
-everything that is tried. Of those, the lowest is chosen. So, with probability
-1 - delta, no stratum loses more than alpha of its good documents to the rules.
-A stratum with too few labels gets no cutoff, and only the base rule holds there.
+Each rule rejects a document whose feature is above a cutoff. CHAIN lists moves,
+each of which tightens one rule, from what is safest to what is riskiest. After
+each move, all rules so far make one verdict; a labelled holdout of good documents
+tells for each stratum (language) how many of n it would reject: k. Moves are
+tested in their fixed order by the exact binomial test of "the verdict's false
+rejection rate is over alpha" at level delta / (strata + 1), the Bonferroni
+correction over strata; the first move that doesn't pass ends the chain, so that
+the moves themselves need no correction (fixed-sequence testing). So, with
+probability 1 - delta, no stratum loses more than alpha of its good documents to
+the rules. At the defaults and four strata, 228 good documents that pass the base
+rule are enough if none of them is rejected.
+
+Strata with too few labels for any move are pooled and tested as one; there the
+guarantee is for the pool. Where even the pool has too few, and in strata without
+any label, only the base rule holds.
 
 Defined results: null or empty text has no words and fails the base rule; null
-strata are one stratum; labels that match no document, or more than one row with
-the same id, count as often as they match; columns that clash with the features'
-names are kept apart, since features live in one struct.
+strata are one stratum; a document counts once, however often it is labelled (as
+good, if any label says so) or repeated (then by its worst row); columns that clash
+with the features' names are kept apart, since features live in one struct.
 """
 
 from __future__ import annotations
@@ -22,23 +29,28 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundwise.llm.common import staged, table, words
+from roundwise.llm.common import free_name, staged, table, words
 
-#: Candidate cutoffs of each rule, from strict to lax.
-CUTOFFS: dict[str, tuple[float, ...]] = {
-    "symbol_share": (0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3),
-    "capital_share": (0.1, 0.15, 0.2, 0.3, 0.4, 0.6, 0.8),
-    "dup_line_share": (0.05, 0.1, 0.15, 0.2, 0.3, 0.5),
-    "repeat_share": (0.05, 0.1, 0.15, 0.2, 0.3, 0.4),
-    "word_length": (6.5, 7.0, 8.0, 9.0, 11.0, 14.0),
-}
+#: Moves from safe to risky: (rule, cutoff).
+CHAIN: tuple[tuple[str, float], ...] = (
+    *[("symbol_share", c) for c in (0.3, 0.2, 0.12, 0.08, 0.05)],
+    ("repeat_share", 0.45), ("dup_line_share", 0.6), ("word_length", 14.0), ("capital_share", 0.8),
+    ("symbol_share", 0.03), ("symbol_share", 0.02),
+    ("repeat_share", 0.4), ("dup_line_share", 0.5), ("word_length", 11.0), ("capital_share", 0.6),
+    ("repeat_share", 0.3), ("dup_line_share", 0.4), ("word_length", 9.0), ("capital_share", 0.4),
+    ("repeat_share", 0.2), ("dup_line_share", 0.3), ("word_length", 8.0), ("capital_share", 0.3),
+    ("repeat_share", 0.15), ("dup_line_share", 0.2), ("word_length", 7.0), ("capital_share", 0.2),
+)
+
+
+#: Strata whose depths are broadcast; more are joined by shuffle.
+FEW = 10_000
 
 
 @dataclass(frozen=True)
 class Risk:
     alpha: float = 0.02
     delta: float = 0.05
-    max_strata: int = 10_000
 
 
 def with_features(docs: DataFrame, text: str = "text", into: str = "_quality") -> DataFrame:
@@ -115,54 +127,61 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(summed)
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum: str = "stratum", key: str = "doc_id") -> DataFrame:
-    """Chosen cutoffs: stratum, rule, cutoff, n, k, bound (the test's level reached).
+def step(feature) -> Column:
+    """feature: name to Column. The first move of the chain that rejects; null: none."""
+    return F.array_min(F.array(*[F.when(feature(r) > c, F.lit(i)) for i, (r, c) in enumerate(CHAIN)]))
+
+
+def depths(measured: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum: str = "stratum", key: str = "doc_id") -> DataFrame:
+    """stratum and depth, how many moves of the chain hold there.
 
-    measured: key, stratum and the features as top-level columns. labels: key and
-    quality (1: good). One grouped pass counts every candidate."""
-    tries = [(r, c) for r, cs in CUTOFFS.items() for c in cs]
-    good = measured.join(labels.where("quality = 1").select(key), key)
-    stays = ~F.col("base_failed")  # counted, not filtered: a filter would be pushed into the features and compute them twice
-    counts = good.groupBy(stratum).agg(F.count_if(stays).alias("n"), *[F.count_if(stays & (F.col(r) > c)).alias(f"k{i}") for i, (r, c) in enumerate(tries)])
-    long = counts.select(stratum, "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (r, c) in enumerate(tries)])).alias("x")).select(stratum, "n", "x.*")
-    strata = counts.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata"))
-    tested = long.crossJoin(F.broadcast(strata)).withColumn("bound", binomial_tail(F.col("n"), F.col("k"), risk.alpha / len(CUTOFFS)))
-    passed = tested.where(F.col("bound") <= risk.delta / (F.col("strata") * len(tries)))
-    return passed.groupBy(stratum, "rule").agg(F.min_by(F.struct("cutoff", "n", "k", "bound"), "cutoff").alias("x")).select(stratum, "rule", "x.*")
+    measured: key, stratum, base_failed and step. labels: key and quality (1: good)."""
+    good = measured.join(labels.where("quality = 1").select(key).distinct(), key)
+    good = good.where(~F.col("base_failed")).groupBy(stratum, key).agg(F.min("step").alias("step"))
+    tries = range(len(CHAIN))
+    counts = good.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("step") <= i).alias(f"k{i}") for i in tries])
+    counts = staged(counts, "strata")
+    level = counts.agg((F.lit(risk.delta) / (F.count(F.lit(1)) + 1)).alias("level"))
+    seen = counts.crossJoin(F.broadcast(level)).withColumn("pool", F.when(F.pow(F.lit(1 - risk.alpha), F.col("n")) <= F.col("level"), F.col(stratum)))
+    pools = seen.groupBy("pool", "level").agg(F.sum("n").alias("n"), *[F.sum(f"k{i}").alias(f"k{i}") for i in tries])
+    passed = F.array(*[binomial_tail(F.col("n"), F.col(f"k{i}"), risk.alpha) <= F.col("level") for i in tries])
+    first = F.array_position(passed, False)
+    pools = pools.select(F.col("pool").alias("pool_"), F.when(first == 0, len(CHAIN)).otherwise(first - 1).cast("int").alias("depth"))
+    return seen.join(pools, F.col("pool").eqNullSafe(F.col("pool_"))).select(stratum, "depth")
 
 
-def cutoff_table(spark: SparkSession, chosen: DataFrame, risk: Risk = Risk(), stratum: str = "stratum") -> DataFrame:
-    """One row a stratum with a column a rule (null: no cutoff), small by its
-    bound of max_strata rows, for a broadcast."""
-    wide = chosen.groupBy(stratum).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in CUTOFFS])
-    rows = wide.take(risk.max_strata + 1)
-    if len(rows) > risk.max_strata:
-        raise ValueError(f"over {risk.max_strata} strata; pass a coarser stratum column")
-    return spark.createDataFrame(sorted((tuple(r) for r in rows), key=str), wide.schema)
+def with_depth(df: DataFrame, depth: DataFrame, stratum: str) -> DataFrame:
+    """df with the depth of its stratum; broadcast if there are few strata."""
+    depth = staged(depth, "depths")
+    return df.join(F.broadcast(depth) if depth.count() <= FEW else depth, stratum, "left")
 
 
-def verdict(feature) -> Column:
-    """feature: name to Column. True if no chosen cutoff is passed."""
-    hit = F.lit(False)
-    for r in CUTOFFS:
-        hit = hit | F.coalesce(feature(r) > F.col(f"cut_{r}"), F.lit(False))
-    return F.when(hit, F.lit(False)).otherwise(~feature("base_failed"))  # one term, so no part is pushed into the features
+def verdict(base_failed: Column, step_: Column, depth: Column) -> Column:
+    """Whether a document stays, in one term, so no part is pushed into the features."""
+    return F.when(F.coalesce(step_ < depth, F.lit(False)), F.lit(False)).otherwise(~base_failed)
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """One row a document: doc_id, counts, shares, base_failed, kept."""
-    measured = staged(with_features(docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), "text")).select("doc_id", "stratum", "_quality.*"), "quality")
-    cuts = cutoff_table(spark, cutoffs(measured, labels, risk), risk)
-    return measured.join(F.broadcast(cuts), "stratum", "left").withColumn("kept", verdict(F.col))
+    """One row a document: doc_id, counts, shares, base_failed, step, depth, kept."""
+    measured = with_features(docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), "text"))
+    measured = staged(measured.select("doc_id", "stratum", "_quality.*").withColumn("step", step(F.col)), "quality")
+    return with_depth(measured, depths(measured, labels, risk), "stratum").withColumn("kept", verdict(F.col("base_failed"), F.col("step"), F.col("depth")))
 
 
 def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """The rows of docs that pass, with the columns of docs."""
-    stratum = F.coalesce(F.col("lang"), F.lit("")).alias("stratum")
-    measured = with_features(docs.select("doc_id", stratum, "text")).select("doc_id", "stratum", "_quality.*")
-    cuts = cutoff_table(spark, cutoffs(measured, labels, risk), risk).withColumnRenamed("stratum", "_stratum")
-    seen = with_features(docs).join(F.broadcast(cuts), F.coalesce(F.col("lang"), F.lit("")) == F.col("_stratum"), "left")
-    return seen.where(verdict(lambda r: F.col("_quality")[r])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that pass, with the columns of docs. Cutoffs need the
+    features of labelled good documents only, the verdict those of all."""
+    stratum = F.coalesce(F.col("lang"), F.lit(""))
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    holdout = with_features(docs.select("doc_id", stratum.alias("stratum"), "text").join(good, "doc_id", "left_semi"))
+    measured = holdout.select("doc_id", "stratum", "_quality.base_failed", step(lambda r: F.col("_quality")[r]).alias("step"))
+    mark = free_name("_stratum", docs)
+    into = free_name("_quality", docs)
+    seen = with_features(docs.withColumn(mark, stratum), into=into)
+    chosen = depths(measured, labels, risk).select(F.col("stratum").alias(mark), F.col("depth").alias(f"{mark}depth"))
+    q = F.col(f"`{into}`")
+    stays = with_depth(seen, chosen, mark).where(verdict(q["base_failed"], step(lambda r: q[r]), F.col(f"{mark}depth")))
+    return stays.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,9 +189,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_TRIES = ", ".join(f"('{r}', {c}::DOUBLE)" for r, cs in CUTOFFS.items() for c in cs)
-_N_TRIES = sum(map(len, CUTOFFS.values()))
-_ALPHA = Risk().alpha / len(CUTOFFS)
+_STEP = "list_min([" + ", ".join(f"CASE WHEN v.{r} > {c} THEN {i} END" for i, (r, c) in enumerate(CHAIN)) + "])"
+_ALPHA, _DELTA = Risk().alpha, Risk().delta
 #: The rows of op1_quality_rules in DuckDB's SQL.
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
@@ -189,13 +207,13 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
   'symbol_share': coalesce(n_symbols / nullif(word_chars, 0)::DOUBLE, 0), 'capital_share': coalesce(n_capitals / nullif(word_chars, 0)::DOUBLE, 0),
   'dup_line_share': coalesce(n_dup_lines / nullif(n_lines, 0)::DOUBLE, 0), 'repeat_share': coalesce(n_repeat_words / nullif(n_words, 0)::DOUBLE, 0),
   'word_length': coalesce(word_chars / nullif(n_words, 0)::DOUBLE, 0)}} AS v FROM c),
-tries(rule, cutoff) AS (VALUES {_TRIES}),
-u AS (SELECT rid, doc_id, stratum, base_failed, rule, cutoff, CASE rule WHEN 'symbol_share' THEN v.symbol_share WHEN 'capital_share' THEN v.capital_share
-  WHEN 'dup_line_share' THEN v.dup_line_share WHEN 'repeat_share' THEN v.repeat_share ELSE v.word_length END AS value FROM f, tries),
-k AS (SELECT stratum, rule, cutoff, count(*) FILTER (WHERE NOT base_failed) AS n, count(*) FILTER (WHERE NOT base_failed AND value > cutoff) AS k
-  FROM u JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id) GROUP BY ALL),
+m AS (SELECT *, {_STEP} AS step FROM f),
+good AS (SELECT stratum, doc_id, min(step) AS step FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
+n AS (SELECT stratum, count(*) AS n, (SELECT {_DELTA} / (count(DISTINCT stratum) + 1) FROM good) AS level FROM good GROUP BY stratum),
+p AS (SELECT stratum, CASE WHEN pow(1 - {_ALPHA}, n) <= level THEN stratum END AS pool, level FROM n),
+k AS (SELECT pool, level, i, count(*) AS n, count(*) FILTER (WHERE step <= i) AS k FROM good JOIN p USING (stratum), (SELECT unnest(range({len(CHAIN)})) AS i) GROUP BY ALL),
 b AS (SELECT *, CASE WHEN k >= n * {_ALPHA} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_ALPHA}) + (n - i) * ln(1 - {_ALPHA})))) END AS bound FROM k),
-cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM b WHERE bound <= {Risk().delta} / ((SELECT greatest(1, count(DISTINCT stratum)) FROM k) * {_N_TRIES}) GROUP BY ALL),
-hit AS (SELECT DISTINCT rid FROM u JOIN cut USING (stratum, rule, cutoff) WHERE value > cutoff)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM hit) AS kept FROM f
+deep AS (SELECT pool, coalesce(min(i) FILTER (WHERE bound > level), {len(CHAIN)}) AS depth FROM b GROUP BY pool),
+cut AS (SELECT stratum, depth FROM p JOIN deep ON p.pool IS NOT DISTINCT FROM deep.pool)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(step < depth, false) AS kept FROM m LEFT JOIN cut USING (stratum)
 """

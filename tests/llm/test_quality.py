@@ -55,3 +55,47 @@ def test_cutoffs_limit_false_rejection(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.kept)
     none = quality.judge(spark, docs.limit(3), labels.limit(0)).collect()
     assert all(r.kept == (not r.base_failed) for r in none) and quality.judge(spark, docs.limit(0), labels).count() == 0
+
+
+def brute_depths(rows, labels, risk=quality.Risk()):
+    """rows: doc_id, stratum, base_failed, step (null: none)."""
+    good = {i for i, q in labels if q == 1}
+    worst = {}
+    for i, s, failed, step in rows:
+        if i in good and not failed:
+            worst.setdefault(s, {})
+            worst[s][i] = min(worst[s].get(i, 99), 99 if step is None else step)
+    level = risk.delta / (len(worst) + 1)
+    pools = {}
+    for s, of in worst.items():
+        pools.setdefault(s if (1 - risk.alpha) ** len(of) <= level else None, []).extend(of.values())
+    deep = {}
+    for p, steps in pools.items():
+        n, deep[p] = len(steps), 0
+        for i in range(len(quality.CHAIN)):
+            k = sum(x <= i for x in steps)
+            if k >= n * risk.alpha or sum(comb(n, j) * risk.alpha**j * (1 - risk.alpha) ** (n - j) for j in range(k + 1)) > level:
+                break
+            deep[p] = i + 1
+    return {s: deep[s if s in pools else None] for s in worst}
+
+
+def test_depths_equal_brute_force(spark):
+    pick = random.Random(5)
+    rows, labels = [], []
+    for s, n, share in (("a", 900, 0.002), ("b", 400, 0.0), ("c", 120, 0.0), ("d", 140, 0.0), ("e", 260, 0.004), ("", 3, 0.0)):
+        for _ in range(n):
+            i = len(rows)
+            rows.append((i, s, pick.random() < 0.1, pick.randrange(len(quality.CHAIN)) if pick.random() < share * 20 else None))
+            labels += [(i, 1)] * pick.choice([0, 1, 1, 1, 5]) + [(i, 0)] * pick.randrange(2)
+    rows += [(0, "a", False, 3)] * 4 + [(None, "a", False, 0)]
+    got = quality.depths(spark.createDataFrame(rows, "doc_id long, stratum string, base_failed boolean, step int"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {r.stratum: r.depth for r in got.collect()}
+    assert got == brute_depths(rows, labels) and got["b"] == len(quality.CHAIN) and 0 < got["a"] < len(quality.CHAIN) and got["c"] == got["d"] == got[""]
+
+
+def test_labels_that_are_repeated_count_once(spark):
+    """40 good documents labelled 30 times each are 40 trials, too few for a rule."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(60)), "en") for i in range(40)] + [(99, " ".join(f"***{j}" for j in range(60)), "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] * 30, "doc_id long, quality int")
+    assert all(r.kept for r in quality.judge(spark, docs, labels).collect())
