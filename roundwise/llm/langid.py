@@ -32,8 +32,8 @@ from roundwise.llm.common import pieces, table
 
 SAMPLE, ROWS = 3000, 60_000
 ORDERS = (4, 3, 2, 1)
-#: Bytes of scores that a worker keeps of words it has met, and the longest such word.
-MEMO, LONG = 64 << 20, 40
+#: Bytes that a worker keeps of the words it has met.
+MEMO = 96 << 20
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
@@ -54,30 +54,18 @@ class Table:
         self.lang, self.more = lang[order], more[order].astype(np.float32)
         self.start = np.searchsorted(key[order], np.arange(len(every) + 1))
 
-    def row(self, i: int) -> np.ndarray:
-        out = self.base.copy()
-        part = slice(self.start[i], self.start[i + 1])
-        out[self.lang[part]] += self.more[part]
+    def rows(self, numbers: np.ndarray) -> np.ndarray:
+        """A row of log frequencies for each number of a key."""
+        out = np.tile(self.base, (len(numbers), 1))
+        first, size = self.start[numbers], self.start[numbers + 1] - self.start[numbers]
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        out[np.repeat(np.arange(len(numbers)), size), self.lang[at]] += self.more[at]
         return out
 
-
-class Rows(dict):
-    """Word to the number of its row of scores, made when the word is met."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.n, self.spent = model, 0, 0
-        self.scores = np.zeros((1024, len(model.langs)))
-
-    def __missing__(self, w: str) -> int:
-        if self.n == len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[self.n] = self.model.row(w)
-        if len(w) <= LONG:
-            self[w] = self.n
-        self.spent += 16 * len(self.model.langs) + 150
-        self.n += 1
-        return self.n - 1
+    def find(self, keys: list[str]) -> np.ndarray:
+        """The numbers of keys; -1 for those that no language has."""
+        get = self.index.get
+        return np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
 
 
 @dataclass
@@ -85,35 +73,61 @@ class Model:
     langs: list[str]
     words: Table
     grams: dict[int, Table]
-    rows: Rows | None = None
+    memo: dict[str, int] | None = None  # word to its row of scores
+    scores: np.ndarray | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"rows": None}
-
-    def row(self, w: str) -> np.ndarray:
-        """The scores of a word in each language."""
-        if (i := self.words.index.get(w)) is not None:
-            return self.words.row(i)
-        marked = f" {w} "
+        return self.__dict__ | {"memo": None, "scores": None}
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The scores of words in each language."""
+        out = np.zeros((len(words), len(self.langs)))
+        known = self.words.find(words)
+        out[known >= 0] = self.words.rows(known[known >= 0])
+        left = np.flatnonzero(known < 0)
         for n in ORDERS:
-            known = self.grams[n]
-            found = [known.row(g) for i in range(len(marked) - n + 1) if (g := known.index.get(marked[i : i + n])) is not None]
-            if found:
-                return sum(found) / len(found)
-        return np.zeros(len(self.langs))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
-        if not words or not self.langs:
-            return "und", 0.0
-        total = np.zeros(len(self.langs))
-        for at in range(0, len(words), 100_000):
-            if self.rows is None or self.rows.spent > MEMO:
-                self.rows = Rows(self)
-            numbers = list(map(self.rows.__getitem__, words[at : at + 100_000]))
-            total += self.rows.scores[numbers].sum(axis=0)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
+            rest = []
+            step = max(1, (1 << 20) // (len(self.langs) + 20))
+            for at in range(0, len(left), step):
+                some = left[at : at + step]
+                marked = [f" {words[i]} " for i in some]
+                held = [[m[i : i + n] for i in range(len(m) - n + 1)] for m in marked]
+                number = self.grams[n].find([g for x in held for g in x])
+                owner = np.repeat(np.arange(len(some)), [len(x) for x in held])[number >= 0]
+                hits = np.bincount(owner, minlength=len(some))
+                found = self.grams[n].rows(number[number >= 0])
+                sums = np.column_stack([np.bincount(owner, found[:, j], len(some)) for j in range(len(self.langs))])
+                out[some[hits > 0]] = sums[hits > 0] / hits[hits > 0, None]
+                rest.append(some[hits == 0])
+            left = np.concatenate([np.zeros(0, np.int64), *rest])
+        return out
+
+    def meet(self, words: set[str]) -> None:
+        """Makes rows for words; what is kept of them takes about MEMO bytes."""
+        if self.memo is None or len(self.memo) * (8 * len(self.langs) + 150) > MEMO:
+            self.memo, self.scores = {}, np.zeros((0, len(self.langs)))
+        new = sorted(words - self.memo.keys())
+        if new:
+            first = len(self.scores)
+            self.scores = np.concatenate([self.scores, self.rows(new)])
+            self.memo.update((w, first + i) for i, w in enumerate(new))
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
+        held = [WORD.findall((t or "").lower()) for t in texts]
+        self.meet({w for words in held for w in words})
+        out = []
+        for words in held:
+            if not words:
+                out.append(("und", 0.0))
+                continue
+            total = np.zeros(len(self.langs))
+            for at in range(0, len(words), 100_000):
+                total += self.scores[list(map(self.memo.__getitem__, words[at : at + 100_000]))].sum(axis=0)
+            best = int(np.argmax(total))
+            out.append((self.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())))
+        return out
 
 
 def fit(rows: list[tuple[str, str, int]]) -> Model:
@@ -158,7 +172,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            found = [sent.value.predict(x.as_py()) for x in batch.column(len(keep))]
+            found = sent.value.predict_all(batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in keep], "lang_pred string", "score double"])
