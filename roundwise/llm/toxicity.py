@@ -3,21 +3,25 @@
 The kernel of two words is the inner product of their weighted subsequences of
 three and four letters, gaps allowed up to SPAN letters, each skipped letter
 halving the weight; it is normalised. So inserted letters, joined suffixes and
-gaps leave words similar. Landmarks span the model: a word's features are its
-kernel values with them, whitened. A linear SVM on those folds into one weight a
-subsequence (hashed to 2**HASH places), so scoring a word needs no landmark.
+gaps leave words similar; letters spelt apart are run together first. Landmarks
+span the model: a word's features are its kernel values with them, whitened. A
+linear SVM on those folds into one weight a subsequence (hashed to 2**HASH places),
+so scoring a word needs no landmark. A sentence's margin is that of its highest word.
 
 Training data are sentences of labelled documents, of which only the document's
-label is known: clean documents give negative words; of toxic ones the words most
-above their clean frequency start as witnesses, and rounds of training choose the
-best word of each anew (multiple-instance learning). A logistic curve over the two
-highest word margins gives a document's score.
-
-The fit sees a bounded sample: at most about SAMPLE labelled documents of each
-label, picked by a hash of the id. Defined results: a text without letters, or a
-model without toxic labels, gets the base score; repeated and null ids are rows
-like others (null ids are not learned from, nor held out); long tokens are
-scored in overlapping windows, so texts are read to their end.
+label is known. A clean document's sentences are all negative, so all their words
+are. Of a toxic one some sentence is positive: first the one whose word is most
+above its frequency in clean documents is the witness, then rounds of training
+choose the highest sentences anew (multiple-instance learning). A logistic curve over
+the margins of a document's two highest words, whichever sentences hold them, gives
+its score: a clean sentence may hold one word that is like an insult by chance.
+
+The fit sees a bounded sample: about SAMPLE labelled documents of each label and
+SAMPLE_CHARS characters of each at most, picked by a hash of the id; it uses all
+sentences of those. Defined results: a text without letters, or a model without
+toxic labels, gets the base score; repeated and null ids are rows like others (null
+ids are not learned from, nor held out); long tokens are scored in overlapping
+windows, so texts are read to their end.
 """
 
 from __future__ import annotations
@@ -36,13 +40,22 @@ from pyspark.sql import functions as F
 from roundwise.llm.common import pieces, table
 from roundwise.llm.langid import held_out
 
-SAMPLE = 1200
+SAMPLE, SAMPLE_CHARS = 2500, 30_000_000
 LANDMARKS = 96
+#: Sentences of a toxic document that are positive, at most.
+WITNESSES = 2
+#: Weight of all positives to that of all negatives.
+BALANCE = 0.15
 HASH = 18
 SPAN, WIDTH, STEP = 6, 24, 12
 DECAY = 0.5
-MEMO = 600_000
-WORD_LIST = 30_000
+#: Tokens that a worker keeps, and the longest of them.
+MEMO, LONG = 400_000, 64
+#: A word is told from chance by twice the log-likelihood ratio of its counts.
+LIFT = 8.0
+#: Words of a sentence at most; longer ones are cut.
+SENTENCE = 40
+ENDS = re.compile(r"[.!?;\n]+(?=\s|$)")
 SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
 PIECES = re.compile(r"[^\W\d_]+")
 
@@ -95,11 +108,15 @@ def kernel(words: list[str], others: list[str]) -> np.ndarray:
     p, w = subsequences(others)
     np.add.at(dense, (p, np.arange(len(others))[:, None]), w)
     out = np.zeros((len(words), len(others)), np.float32)
-    for at in range(0, len(words), 500):
-        p, w = subsequences(words[at : at + 500])
-        for j in range(p.shape[1]):
+    order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
+    for at in range(0, len(words), 500):  # words of like length together: narrow tables
+        some = order[at : at + 500]
+        p, w = subsequences([words[i] for i in some])
+        sums = np.zeros((len(some), len(others)), np.float32)
+        for j in np.flatnonzero((w > 0).any(axis=0)):
             used = w[:, j] > 0
-            out[at : at + 500][used] += w[used, j, None].astype(np.float32) * dense[p[used, j]]
+            sums[used] += w[used, j, None].astype(np.float32) * dense[p[used, j]]
+        out[some] = sums
     return out
 
 
@@ -114,9 +131,23 @@ def cleaned(token: str) -> list[str]:
     return [w for w in out if len(w) > 2]
 
 
-def tokens(text: str | None) -> list[str]:
-    low = (text or "").lower()
-    return low.split() + ["".join(m.split()) for m in SPACED.findall(low)]
+def sentences(text: str | None) -> list[list[str]]:
+    """The tokens of each sentence, in lower case; letters spelt apart are one."""
+    out = []
+    for part in ENDS.split((text or "").lower()):
+        found = part.split() + ["".join(m.split()) for m in SPACED.findall(part)]
+        out += [found[i : i + SENTENCE] for i in range(0, len(found), SENTENCE)]
+    return out
+
+
+def highest(bag: list[list[str]], of) -> list[tuple[float, str]]:
+    """The highest word of each sentence, once a word, in falling order."""
+    best = {}
+    for words in bag:
+        if words:
+            m, w = max((of(w), w) for w in words)
+            best[w] = m
+    return sorted(((m, w) for w, m in best.items()), reverse=True)
 
 
 @dataclass
@@ -141,14 +172,19 @@ class Model:
     def score_all(self, texts: list[str | None]) -> list[float]:
         if len(self.memo) > MEMO:
             self.memo.clear()
-        found = [tokens(t) for t in texts]
-        missing = list({t for x in found for t in x if t not in self.memo})
+        found = [sentences(t) for t in texts]
+        missing = list({t for x in found for s in x for t in s if t not in self.memo})
         parts = [cleaned(t) for t in missing]
         distinct = list(dict.fromkeys(w for x in parts for w in x))
         of = dict(zip(distinct, self.margins(distinct).tolist(), strict=True))
-        for t, x in zip(missing, parts, strict=True):
-            self.memo[t] = max((of[w] for w in x), default=-3.0)
-        return [self.score(sorted({t: self.memo[t] for t in x}.values())[-2:]) for x in found]
+        now = {t: max((of[w] for w in x), default=-3.0) for t, x in zip(missing, parts, strict=True)}
+        self.memo.update(now)
+        get = self.memo.__getitem__
+        out = [self.score(sorted({t: get(t) for s in bag for t in s}.values())[-2:]) for bag in found]
+        for t in missing:
+            if len(t) > LONG:
+                del self.memo[t]
+        return out
 
     def score(self, top: list[float]) -> float:
         top = [-3.0, -3.0, *top]
@@ -178,23 +214,21 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[int, list[str]]]) -> Model:
-    """rows: label (1 toxic) and the document's distinct tokens, lower-cased."""
-    bags = [(y, list(dict.fromkeys(w for t in ts for w in cleaned(t)))) for y, ts in rows]
+def fit(rows: list[tuple[int, str | None]]) -> Model:
+    """rows: label (1 toxic) and the document's text."""
+    bags = [(y, [list(dict.fromkeys(w for t in s for w in cleaned(t))) for s in sentences(text)]) for y, text in rows]
     toxic, clean = [b for y, b in bags if y], [b for y, b in bags if not y]
     none = Model(np.zeros(1 << HASH), -3.0, (float(np.log((len(toxic) + 0.5) / (len(clean) + 10))), 0.0, 0.0))
     if not toxic or not clean:
         return none
-    bad, good = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
-    lift = lambda w: bad[w] * np.log((bad[w] / len(toxic)) / ((good[w] + 0.5) / len(clean)))
-    least = 2 if len(toxic) < 200 else 3
-    ranked = sorted((w for w in bad if bad[w] >= least and bad[w] / len(toxic) > 8 * (good[w] + 0.2) / len(clean)), key=lambda w: (-lift(w), w))
+    bad, good = (Counter(w for b in some for w in {w for s in b for w in s}) for some in (toxic, clean))
+    lift = {w: n * np.log((n / len(toxic)) / ((good[w] + 0.5) / len(clean))) for w, n in bad.items()}
+    ranked = sorted((w for w in bad if bad[w] > 1 and 2 * lift[w] >= LIFT), key=lambda w: (-lift[w], w))
     if not ranked:
         return none
-    witnesses = set(ranked[: 3 * LANDMARKS])
-    negatives = [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))[:WORD_LIST]]
-    near = sorted(negatives[:4000], key=lambda w: w)
-    marks = list(dict.fromkeys([*ranked[: 2 * LANDMARKS // 3], *near[:: max(1, len(near) // (LANDMARKS // 3))]]))[:LANDMARKS]
+    negatives = sorted(good)
+    near = negatives[:: max(1, len(negatives) // (LANDMARKS // 3))]
+    marks = list(dict.fromkeys([*ranked[: 2 * LANDMARKS // 3], *near]))[:LANDMARKS]
     gram = kernel(marks, marks).astype(float)
     values, vectors = np.linalg.eigh(gram)
     keep = values > 1e-6
@@ -212,33 +246,34 @@ def fit(rows: list[tuple[int, list[str]]]) -> Model:
 
     clean_rows = features(negatives)
     words = sorted(bad)
-    for turn in range(3):
-        pos = sorted(witnesses)
+    of = lift
+    for _ in range(3):
+        chosen = {w for b in toxic for m, w in highest(b, of.__getitem__)[:WITNESSES] if m > 0 and not good[w]}
+        pos = sorted(chosen)
         x = np.concatenate([features(pos), clean_rows])
         y = np.concatenate([np.ones(len(pos)), -np.ones(len(negatives))])
         cost = np.concatenate([np.array([1.0 * min(20, bad[v]) for v in pos]), np.ones(len(negatives))])
+        cost[: len(pos)] *= BALANCE * len(negatives) / cost[: len(pos)].sum()
         model = model_of(svm(x, y, cost), (0.0, 1.0, 0.0))
-        if turn < 2:  # the best word of each toxic document, if it is any good
-            of = dict(zip(words, model.margins(words).tolist(), strict=True))
-            chosen = {max(b, key=of.__getitem__) for b in toxic if b}
-            witnesses = {v for v in chosen if of[v] > 0 and not good[v]} | set(ranked[:LANDMARKS])
-    words = list({x for _, b in bags for x in b})
-    of = dict(zip(words, model.margins(words).tolist(), strict=True))
-    tops = np.array([([-3.0, -3.0] + sorted(of[v] for v in b))[-2:][::-1] for _, b in bags])
+        of = dict(zip(words, model.margins(words).tolist(), strict=True))
+    every = sorted(set(bad) | set(good))
+    of = dict(zip(every, model.margins(every).tolist(), strict=True))
+    tops = np.array([([-3.0, -3.0, *sorted(of[w] for w in {w for s in b for w in s})])[-2:][::-1] for _, b in bags])
     a, b, c = logistic(tops, np.array([float(y) for y, _ in bags]))
     return Model(model.weights, model.bias, (float(a), float(b), float(c)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model:
-    """Labels of learnable ids; at most about sample documents of each label."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learnable).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """Labels of learnable ids; at most about sample documents of each label, and
+    chars characters of each."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learnable).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    found = docs.select("doc_id", "text").join(known, "doc_id")
+    sizes = {r["toxic"]: r for r in found.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars")).collect()}
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000)) / 1e6
-    limit = F.when(F.col("toxic") == 1, sample / max(1, sizes.get(1, 1))).otherwise(sample / max(1, sizes.get(0, 1)))
-    picked = known.where(share < limit)
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", words.alias("words")).collect()
-    return fit([(r["toxic"], r["words"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["words"]))])
+    limit = {y: min(sample / r["n"], chars / max(1, r["chars"])) for y, r in sizes.items()}
+    picked = found.where(share < F.when(F.col("toxic") == 1, limit.get(1, 0.0)).otherwise(limit.get(0, 0.0)))
+    rows = picked.select("toxic", "text").collect()
+    return fit(sorted((r["toxic"], r["text"] or "") for r in rows))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
