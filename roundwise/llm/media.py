@@ -1,7 +1,8 @@
 """Media columns: Netpbm and BMP, area-resized tiles and difference hashes.
 
 A payload of bytes becomes a greyscale picture 64 samples wide (binary PGM, or
-an 8-bit BMP with a grey palette), which is decoded to a numpy array again. The
+an 8-bit BMP with a grey palette; by default one or the other by a checksum of the
+payload, as a media column holds both), which is decoded to a numpy array again. The
 picture is resized by area means, read off an integral image interpolated at
 fractional edges, to a tile written in the NPY format; its difference hash has a
 bit for each pair of horizontal neighbours.
@@ -78,22 +79,27 @@ def read_bmp(data: bytes) -> np.ndarray:
     return rows if bits == 8 else rows.reshape(abs(h), w, 3)[:, :, ::-1]
 
 
-def resized(samples: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Area means of a (height, width) picture, by its integral image."""
+def cell_sums(samples: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Of a (height, width) grid laid over the picture, each cell's sum of samples
+    times height * width: whole numbers, by the integral image."""
     h, w = samples.shape
-    area = np.zeros((h + 1, w + 1))
+    area = np.zeros((h + 1, w + 1), np.int64)
     np.cumsum(np.cumsum(samples, axis=0, dtype=np.int64), axis=1, out=area[1:, 1:])
 
     def edges(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(m + 1) * (n / m)
-        low = np.minimum(at.astype(np.int64), n - 1)
-        return low, at - low
+        low = np.minimum(np.arange(m + 1) * n // m, n - 1)
+        return low, np.arange(m + 1) * n - low * m
 
     y, fy = edges(h, height)
     x, fx = edges(w, width)
-    part = area[y] + fy[:, None] * (area[y + 1] - area[y])
-    part = part[:, x] + fx * (part[:, x + 1] - part[:, x])
-    return np.diff(np.diff(part, axis=0), axis=1) / (h / height * w / width)
+    part = area[y] * height + fy[:, None] * (area[y + 1] - area[y])
+    part = part[:, x] * width + fx * (part[:, x + 1] - part[:, x])
+    return np.diff(np.diff(part, axis=0), axis=1)
+
+
+def resized(samples: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Area means of a (height, width) picture."""
+    return cell_sums(samples, height, width) / samples.size
 
 
 def npy(tile: np.ndarray) -> bytes:
@@ -104,7 +110,7 @@ def npy(tile: np.ndarray) -> bytes:
 
 def dhash(samples: np.ndarray, side: int = 8) -> tuple[bytes, str]:
     """The NPY tile (side x side + 1 bytes) and the difference hash's hex digits."""
-    tile = np.floor(resized(samples, side, side + 1) + 0.5).astype(np.uint8)
+    tile = ((2 * cell_sums(samples, side, side + 1) + samples.size) // (2 * samples.size)).astype(np.uint8)  # halves up
     bits = tile[:, 1:] > tile[:, :-1]
     return npy(tile), np.packbits(bits).tobytes().hex()
 
@@ -112,16 +118,26 @@ def dhash(samples: np.ndarray, side: int = 8) -> tuple[bytes, str]:
 CODECS = {"pgm": (write_netpbm, read_netpbm), "bmp": (write_bmp, read_bmp)}
 
 
+def format_of(raw: bytes) -> str:
+    """The format a payload is stored in: even checksums PGM, odd ones BMP."""
+    return ("pgm", "bmp")[zlib.crc32(raw) & 1]
+
+
+def decoded(media: bytes) -> np.ndarray:
+    """The samples of a stored picture, by its first bytes."""
+    return read_bmp(media) if media[:2] == b"BM" else read_netpbm(media)
+
+
 def payload(text: str | None) -> tuple[bytes, int]:
     raw = (text or "").encode()
     return raw + bytes(max(WIDTH, len(raw) + -len(raw) % WIDTH) - len(raw)), len(raw)
 
 
-def as_media(docs: DataFrame, kind: str = "pgm", outputs: tuple[str, ...] = ("media", "tile", "dhash"), keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def as_media(docs: DataFrame, kind: str | None = None, outputs: tuple[str, ...] = ("media", "tile", "dhash"), keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep's columns and, of each whole text: media (the stored picture), tile
     (NPY), dhash, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature, as named in outputs."""
-    write, read = CODECS[kind]
+    media_bytes, media_sha256, feature, as named in outputs. kind: "pgm", "bmp", or
+    None for format_of."""
     kinds = {"media": "binary", "tile": "binary", "dhash": "string", "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
     arrow = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
     types = dict(docs.dtypes)
@@ -131,8 +147,8 @@ def as_media(docs: DataFrame, kind: str = "pgm", outputs: tuple[str, ...] = ("me
             got: dict[str, list] = {o: [] for o in outputs}
             for value in batch.column(len(keep)):
                 raw, n = payload(value.as_py())
-                media = write(np.frombuffer(raw, np.uint8).reshape(-1, WIDTH))
-                samples = read(media)
+                media = CODECS[kind or format_of(raw)][0](np.frombuffer(raw, np.uint8).reshape(-1, WIDTH))
+                samples = decoded(media)
                 back = samples.tobytes()
                 tile, code = dhash(samples)
                 found = {"media": media, "tile": tile, "dhash": code, "n_bytes": n, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-WIDTH:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": f"{code}:{zlib.crc32(tile):08x}"}
@@ -145,4 +161,4 @@ def as_media(docs: DataFrame, kind: str = "pgm", outputs: tuple[str, ...] = ("me
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_media(table(spark, sf_dir, "documents"), "pgm", ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
+    return as_media(table(spark, sf_dir, "documents"), None, ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"))
