@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roundwise.catalog import query
@@ -105,8 +105,7 @@ def tower_forecast(spark, sf_dir):
     letter = F.element_at(F.array(*map(F.lit, sorted(READ_LETTERS.values()))), (k + 1).cast("int"))
     t = e.groupBy(F.floor(F.col("event_id") / 10).alias("round_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", letter.alias("l")))), lambda x: x["l"]), "").alias("letters"))
     t = t.where(F.length("letters") >= 4).withColumn("source_key", F.concat(F.lit("s"), F.col("round_id") % 4))
-    newest = F.row_number().over(Window.partitionBy("source_key").orderBy(F.desc("round_id")))
-    return folds.tower_histories(t.withColumn("back", newest).where("back <= 110").drop("back"), last=12)
+    return folds.tower_histories(t)
 
 
 @query()
@@ -114,8 +113,8 @@ def walk_forward(spark, sf_dir):
     """Strict walk-forward test of a mixed forecaster beside the fair baseline."""
     s = ordered.carried(by_target(spark, sf_dir, (5, 10, 20)), "last", F.when(F.col("hit"), F.col("idx")), ("target",))
     s = ordered.framed(s, 0, 8, lambda rows: {"top": F.max("multiplier").over(rows(1, 8))}, ("target",))
-    n = s.agg((F.max("idx") - 6000).alias("from"))  # the fold reads the newest rows
-    f = s.crossJoin(F.broadcast(n)).where("idx >= from").select("target", "idx", (F.col("idx") - F.coalesce("last", F.lit(-1))).alias("gap"), (F.coalesce(F.col("top") >= F.col("target"), F.lit(False))).cast("int").alias("ahead"))
+    gap = F.col("idx") - F.coalesce("last", F.lit(-1))
+    f = s.select("target", "idx", gap.alias("gap"), F.coalesce(F.col("top") >= F.col("target"), F.lit(False)).cast("int").alias("ahead"))
     return folds.walk_forward(f)
 
 
@@ -124,8 +123,6 @@ def oracle_replay(spark, sf_dir):
     """Locks resolved one after the other, as they would have been made live."""
     r = rounds(spark, sf_dir).select("round_id", "multiplier")
     hits = r.crossJoin(param(spark, "target int", list(ORACLE_WINDOWS))).where("multiplier >= target").select("target", "round_id")
-    newest = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("round_id")))
-    hits = hits.withColumn("back", newest).where("back <= 512").drop("back")
     now = F.broadcast(r.agg(F.max("round_id").alias("now")))
     return folds.replay(hits, now, ORACLE_WINDOWS)
 
@@ -136,8 +133,6 @@ def lock_cycle(spark, sf_dir):
     windows are the geometric quantile around the median known gap."""
     r = rounds(spark, sf_dir).select("round_id", "multiplier")
     hits = r.crossJoin(param(spark, "target int", list(SPANS))).where("multiplier >= target").select("target", "round_id")
-    newest = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("round_id")))
-    hits = hits.withColumn("back", newest).where("back <= 512").drop("back")
     done = folds.replay(hits, F.broadcast(r.agg(F.max("round_id").alias("now"))), SPANS)
     return done.groupBy("target").agg(F.max_by(F.struct("generation", "made", "lo", "hi", "outcome"), F.struct("made", "lo")).alias("x"), F.count_if(F.col("outcome") == "win").alias("wins"), F.count_if(F.col("outcome") == "loss").alias("losses")).select("target", "x.*", "wins", "losses")
 

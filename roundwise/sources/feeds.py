@@ -24,16 +24,36 @@ def number(text: Column) -> Column:
     return F.regexp_extract(plain, r"-?\d+(?:\.\d+)?", 0).try_cast("double")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fields_of(text: Column) -> Column:
+    """The fields of a JSON object as texts, by one parse; null of anything else."""
+    return F.from_json(text, "map<string,string>")
+
+
 def rows_of(payload: Column) -> Column:
     """Array of the JSON rows of a payload: itself, or the first container that
-    is an array."""
-    at = lambda p: F.get_json_object(payload, f"$.{p}" if p else "$")
-    found = F.coalesce(*[F.when(F.ltrim(at(p)).startswith("["), at(p)) for p in ("", *CONTAINERS)])
-    return F.from_json(found, "array<string>")
+    is an array. The payload is parsed once, and its inner containers once each."""
+    rows = lambda x: F.when(F.ltrim(x).startswith("["), x)
+    inner = list(dict.fromkeys(c.split(".")[0] for c in CONTAINERS if "." in c))
+
+    def pick(outer: Column) -> Column:
+        parsed = F.create_map(*[x for k in inner for x in (F.lit(k), fields_of(F.try_element_at(outer, F.lit(k))))])
+
+        def among(m: Column) -> Column:
+            at = lambda c: F.try_element_at(F.try_element_at(m, F.lit(c.split(".")[0])), F.lit(c.split(".")[1])) if "." in c else F.try_element_at(outer, F.lit(c))
+            return F.coalesce(*[rows(at(c)) for c in CONTAINERS])
 
+        return let(parsed, among)
 
-def first_key(row: Column, keys: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.get_json_object(row, f"$.{k}") for k in keys])
+    return F.from_json(F.coalesce(rows(payload), let(fields_of(payload), pick)), "array<string>")
+
+
+def first_key(fields: Column, keys: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.try_element_at(fields, F.lit(k)) for k in keys])
 
 
 def tower_letters(raw: Column, letters: dict[str, str]) -> Column:
@@ -59,19 +79,31 @@ def synthetic_id(seed: Column, multiplier: Column, ts: Column) -> Column:
 
 def normalized(rows: DataFrame, row: str, now: int) -> DataFrame:
     """rows and round_id, multiplier, timestamp of each JSON row (object or
-    tuple); rows without a usable multiplier or id are dropped."""
+    tuple); rows without a usable multiplier or id are dropped. Each row is parsed
+    once; a generator keeps the optimizer from doing it again for the filter."""
     r = F.col(row)
-    tuple_ = F.ltrim(r).startswith("[")
-    parts = F.from_json(r, "array<string>")
-    value = number(F.when(tuple_, F.get(parts, 1)).otherwise(first_key(r, VALUE_KEYS)))
-    length = F.length(tower_letters(F.get_json_object(r, "$.gameResult"), INGEST_LETTERS))
-    multiplier = F.coalesce(value, F.when(length > 0, length.cast("double")))
-    iso = F.unix_millis(F.try_to_timestamp(F.coalesce(*[F.nullif(F.get_json_object(r, f"$.{k}"), F.lit("")) for k in TIME_KEYS])))
-    ts = F.coalesce(F.when(tuple_, F.get(parts, 2)).otherwise(F.get_json_object(r, "$.timestamp")).try_cast("double").cast("long"), F.when(~tuple_, iso), F.lit(now))
-    out = rows.withColumn("multiplier", multiplier).withColumn("timestamp", ts)
-    given = F.when(tuple_, F.get(parts, 0)).otherwise(first_key(r, ID_KEYS)).try_cast("double").cast("long")
-    seed = F.coalesce(F.when(~tuple_, first_key(r, ("roundId", "round_id", "id", "gameId", "gameRoundId", "uuid", "hash", *TIME_KEYS))), F.lit(""))
-    return out.withColumn("round_id", F.coalesce(given, synthetic_id(seed, F.col("multiplier"), F.col("timestamp")))).where("multiplier IS NOT NULL AND round_id IS NOT NULL")
+
+    def seen(x: Column) -> Column:
+        """The texts that count, of an object's fields or a tuple's parts."""
+        m, p = x["fields"], x["parts"]
+        length = F.length(tower_letters(F.try_element_at(m, F.lit("gameResult")), INGEST_LETTERS))
+        times = F.coalesce(*[F.nullif(F.try_element_at(m, F.lit(k)), F.lit("")) for k in TIME_KEYS])
+        return F.struct(
+            F.coalesce(number(F.coalesce(F.get(p, 1), first_key(m, VALUE_KEYS))), F.when(length > 0, length.cast("double"))).alias("multiplier"),
+            F.coalesce(F.coalesce(F.get(p, 2), F.try_element_at(m, F.lit("timestamp"))).try_cast("double").cast("long"), F.unix_millis(F.try_to_timestamp(times)), F.lit(now)).alias("timestamp"),
+            F.coalesce(F.get(p, 0), first_key(m, ID_KEYS)).try_cast("double").cast("long").alias("given"),
+            F.coalesce(first_key(m, ("roundId", "round_id", "id", "gameId", "gameRoundId", "uuid", "hash", *TIME_KEYS)), F.lit("")).alias("seed"),
+        )
+
+    def named(x: Column) -> Column:
+        made = F.coalesce(x["given"], synthetic_id(x["seed"], x["multiplier"], x["timestamp"]))
+        return F.struct(x["multiplier"].alias("multiplier"), x["timestamp"].alias("timestamp"), made.alias("round_id"))
+
+    is_tuple = F.ltrim(r).startswith("[")
+    parsed = F.struct(F.when(~is_tuple, fields_of(r)).alias("fields"), F.when(is_tuple, F.from_json(r, "array<string>")).alias("parts"))
+    found = F.transform(F.transform(F.array(parsed), seen), named)
+    usable = F.filter(found, lambda x: x["multiplier"].isNotNull() & x["round_id"].isNotNull())
+    return rows.select("*", F.explode(usable).alias("_x")).select(*rows.columns, "_x.*")
 
 
 # What raises and lowers the score of an address as a feed.
@@ -98,5 +130,9 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+# Fixed value: what a page that asks for a browser says.
+CHALLENGE = "(?i)just a moment|enable javascript and cookies|cf-challenge|challenge-platform"
+
+
 def is_challenge(page: Column) -> Column:
-    return F.coalesce(page, F.lit("")).rlike("(?i)just a moment|enable javascript and cookies|cf-challenge|challenge-platform")
+    return F.coalesce(page, F.lit("")).rlike(CHALLENGE)

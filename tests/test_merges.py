@@ -69,7 +69,7 @@ def test_kmeans_seeds_and_steps(spark):
 
 def test_sequence_model_repeats_a_constant_history():
     text, sure = folds.predict_sequence(["ABCABCABCA"] * 20)
-    assert text[:3] == "ABC" and 0 <= sure <= 100 and folds.forecast_sequence([]) == ""
+    assert text[:3] == "ABC" and 0 <= sure <= 100 and folds.forecast_at([], 0) == ""
 
 
 def test_replay_resolves_each_lock_once(spark):
