@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Java form of the word separators \x20 and \x09-\x0D.
 SPACES = r"[ \t-\r]+"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +35,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     lineage, is computed once, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    held = spark.conf.get(BATCH)
+    try:  # small batches for Python workers, for this write only
+        spark.conf.set(BATCH, str(min(int(held), 1000) if int(held) > 0 else 1000))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, held)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path  # type: ignore[attr-defined]
     return out
@@ -59,7 +65,7 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches of at most rows rows and about size bytes, so that what
     Python makes of them stays small. Spark bounds the batches themselves by
     spark.sql.execution.arrow.maxBytesPerBatch, 64 MB if not set otherwise."""
