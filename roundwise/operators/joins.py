@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STRIPE = 4096
+#: Ids in a block of one task, and targets that are broadcast.
+BLOCK, TARGETS = 65_536, 10_000
+
+
+def targets_of(locks: DataFrame) -> DataFrame:
+    """The locks' distinct targets as _t; broadcast if there are few."""
+    found = locks.select(F.col("target").alias("_t")).distinct()
+    return F.broadcast(found) if found.limit(TARGETS + 1).count() <= TARGETS else found
 
 
 def first_hit(locks: DataFrame, rounds: DataFrame, until: Column, after: str = "made", into: str = "hit") -> DataFrame:
@@ -15,7 +23,7 @@ def first_hit(locks: DataFrame, rounds: DataFrame, until: Column, after: str = "
     A range join by stripes of ids: each lock meets only the hits in the stripes
     that its interval touches, so work follows the intervals' lengths, and the
     equi-join key (target, stripe) spreads them."""
-    targets = F.broadcast(locks.select("target").distinct().withColumnRenamed("target", "_t"))
+    targets = targets_of(locks)
     hits = rounds.select(F.col("round_id").alias("_hit"), "multiplier").join(targets, F.col("multiplier") >= F.col("_t"))
     hits = hits.select("_t", "_hit", F.floor(F.col("_hit") / STRIPE).alias("_s"))
     spread = locks.select("target", F.col(after).alias("_a"), until.alias("_u")).distinct().where(F.col("_u") > F.col("_a"))
@@ -26,12 +34,16 @@ def first_hit(locks: DataFrame, rounds: DataFrame, until: Column, after: str = "
     return asked.join(first, (F.col("target") == F.col("_lt")) & (F.col(after) == F.col("_a")) & (F.col("_until") == F.col("_u")), "left").select(*locks.columns, into)
 
 
-def next_hit(locks: DataFrame, rounds: DataFrame, after: str = "made", into: str = "hit") -> DataFrame:
-    """As first_hit without an end: locks and hits of a target are merged in id
-    order, and each lock takes the first hit that follows."""
-    targets = F.broadcast(locks.select("target").distinct().withColumnRenamed("target", "_t"))
-    hits = rounds.join(targets, F.col("multiplier") >= F.col("_t")).select(F.col("_t").alias("target"), F.col("round_id").alias("_at"), F.col("round_id").alias("_hit"))
+def next_hit(locks: DataFrame, rounds: DataFrame, after: str = "made", into: str = "hit", block: int = BLOCK) -> DataFrame:
+    """As first_hit without an end. Locks and hits of a target are merged in id
+    order inside blocks of ids; a lock without a later hit in its block takes the
+    first hit of the blocks that follow, of which there is one row a block."""
+    hits = rounds.join(targets_of(locks), F.col("multiplier") >= F.col("_t")).select(F.col("_t").alias("target"), F.col("round_id").alias("_at"), F.col("round_id").alias("_hit"))
     asked = locks.select("target", F.col(after).alias("_at")).distinct().withColumn("_hit", F.lit(None).cast("long"))
-    following = Window.partitionBy("target").orderBy("_at", F.col("_hit").isNull().cast("int")).rowsBetween(1, Window.unboundedFollowing)
-    found = hits.unionByName(asked).withColumn(into, F.first("_hit", ignorenulls=True).over(following)).where("_hit IS NULL")
-    return locks.join(found.select(F.col("target").alias("_t"), F.col("_at"), into), (F.col("target") == F.col("_t")) & (F.col(after) == F.col("_at")), "left").drop("_t", "_at")
+    both = hits.unionByName(asked).withColumn("_blk", F.floor(F.col("_at") / block).cast("long"))
+    inside = Window.partitionBy("target", "_blk").orderBy("_at", F.col("_hit").isNull().cast("int")).rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("target").orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
+    firsts = both.groupBy("target", "_blk").agg(F.min("_hit").alias("_first")).select("target", "_blk", F.first("_first", ignorenulls=True).over(later).alias("_later"))
+    found = both.withColumn("_near", F.first("_hit", ignorenulls=True).over(inside)).where("_hit IS NULL").join(firsts, ["target", "_blk"])
+    found = found.select(F.col("target").alias("_t"), "_at", F.coalesce("_near", "_later").alias(into))
+    return locks.join(found, (F.col("target") == F.col("_t")) & (F.col(after) == F.col("_at")), "left").drop("_t", "_at")

@@ -54,13 +54,25 @@ def carried(df: DataFrame, into: str, value: Column, by: tuple[str, ...] = (), f
     return carried_all(df, {into: value}, by, forward, inclusive, block)
 
 
-def running_sum(df: DataFrame, into: str, value: Column, by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """df (with idx) and into: the sum of value up to and with the row."""
+def _running(df: DataFrame, into: str, value: Column, by: tuple[str, ...], block: int, over, join: Callable[[Column, Column], Column], edge: int) -> DataFrame:
+    """Aggregates over all rows up to edge rows from the row: inside the block, and
+    over the summaries of the blocks before."""
     df = df.withColumn("_blk", _block(F.col("idx"), block)).withColumn("_v", value)
     before = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*by, "_blk").agg(F.sum("_v").alias("_s")).withColumn("_from", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    inner = Window.partitionBy(*by, "_blk").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_near", F.sum("_v").over(inner)).join(sums, [*by, "_blk"]).withColumn(into, F.col("_near") + F.col("_from")).drop("_blk", "_v", "_near", "_from")
+    sums = df.groupBy(*by, "_blk").agg(over("_v").alias("_s")).withColumn("_from", over("_s").over(before)).drop("_s")
+    inner = Window.partitionBy(*by, "_blk").orderBy("idx").rowsBetween(Window.unboundedPreceding, edge)
+    found = df.withColumn("_near", over("_v").over(inner)).join(sums, [*by, "_blk"])
+    return found.withColumn(into, join(F.col("_near"), F.col("_from"))).drop("_blk", "_v", "_near", "_from")
+
+
+def running_sum(df: DataFrame, into: str, value: Column, by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """df (with idx) and into: the sum of value up to and with the row."""
+    return _running(df, into, value, by, block, F.sum, lambda near, far: near + F.coalesce(far, F.lit(0)), 0)
+
+
+def running_max(df: DataFrame, into: str, value: Column, by: tuple[str, ...] = (), inclusive: bool = True, block: int = BLOCK) -> DataFrame:
+    """df (with idx) and into: the greatest value up to the row, with it if inclusive."""
+    return _running(df, into, value, by, block, F.max, F.greatest, 0 if inclusive else -1)
 
 
 def framed(df: DataFrame, before: int, after: int, columns: Callable[[Callable[[int, int], object]], dict[str, Column]], by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:

@@ -13,6 +13,8 @@ from roundwise.plans import probabilities as prob
 from roundwise.plans.fixtures import R, param, rounds
 from roundwise.plans.sequences import TOKEN, I, by_target, sequence
 
+#: Rows that one task may hold.
+FEW = 1500
 _W = "OVER (ORDER BY idx ROWS 23 PRECEDING)"
 F16 = f"{I}, f AS (SELECT idx, round_id, ln(multiplier) AS x, avg(ln(multiplier)) {_W} AS avg_log, stddev_pop(ln(multiplier)) {_W} AS sd_log, avg(ln(multiplier)) OVER (ORDER BY idx ROWS 4 PRECEDING) - avg(ln(multiplier)) OVER (ORDER BY idx ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING) AS momentum, max(ln(multiplier)) {_W} - min(ln(multiplier)) {_W} AS spread, list_sort(list(ln(multiplier)) {_W}) AS s, avg((multiplier < 2)::INT) {_W} AS under2, avg((multiplier >= 10)::INT) {_W} AS over10, avg((multiplier >= 25)::INT) {_W} AS over25, idx - coalesce(max(CASE WHEN multiplier >= 2 THEN idx END) OVER w, -1) AS low_run, idx - coalesce(max(CASE WHEN multiplier < 10 THEN idx END) OVER w, -1) AS high_run, " + ", ".join(f"idx - coalesce(max(CASE WHEN multiplier >= {t} THEN idx END) OVER w, -1) AS gap{t}" for t in (2, 5, 10, 25)) + " FROM i WINDOW w AS (ORDER BY idx))"
 NAMES16 = ("avg_log", "sd_log", "last_log", "momentum", "spread", "quartiles", "under2", "over10", "over25", "low_run", "high_run", "gap2", "gap5", "gap10", "gap25", "above")
@@ -73,26 +75,43 @@ def analogues_weighted(spark, sf_dir):
     weights = [1 + j / 16.0 * 2.3 for j in range(16)]
     total = F.aggregate(F.zip_with(each, F.array(*map(F.lit, weights)), lambda p, q: p * q), F.lit(0.0), lambda a, b: a + b)
     d = pairs.select("start", "max5", (total / sum(weights)).alias("s"))
-    cut = d.agg(F.percentile("s", 0.82).alias("cut"))
-    k = d.crossJoin(F.broadcast(cut)).where("s >= cut").orderBy(F.round("s", 9).desc(), "start").limit(260)
+    # The best 260 of those above the 82 % quantile. Of over FEW rows, 18 % are more
+    # than 260, so the quantile only matters for fewer, all of which are among the best FEW.
+    best = d.orderBy(F.round("s", 9).desc(), "start").limit(FEW)
+    n = d.agg(F.count(F.lit(1)).alias("n"))
+    cut = best.agg(F.percentile("s", 0.82).alias("cut")).crossJoin(n).select(F.when(F.col("n") <= FEW, F.col("cut")).otherwise(-1.0).alias("cut"))
+    k = best.crossJoin(F.broadcast(cut)).where("s >= cut").orderBy(F.round("s", 9).desc(), "start").limit(260)
     weight = F.pow(F.col("s"), F.lit(2.8))
     return k.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("mean_similarity"), F.round(F.sum(weight * (F.col("max5") >= 10).cast("int")) / F.sum(weight), 6).alias("p_hit5"))
 
 
-@query()
-def kmeans_regimes(spark, sf_dir):
-    """Five clusters of the scaled features: size, mean next multiplier and hit
-    rates of each."""
+def scaled16(spark, sf_dir) -> DataFrame:
+    """idx, the sixteen features as z-scores, and what came next."""
     f = features16(spark, sf_dir)
-    f = ordered.framed(f.join(sequence(spark, sf_dir).select("round_id", "multiplier"), "round_id"), 0, 1, lambda rows: {"next": F.max("multiplier").over(rows(1, 1))})
+    m = F.max("multiplier")
+    f = ordered.framed(f.join(sequence(spark, sf_dir).select("round_id", "multiplier"), "round_id"), 0, 5, lambda rows: {"next": m.over(rows(1, 1)), "ahead5": m.over(rows(1, 5))})
     stats = f.agg(*[g(n).alias(p + n) for n in NAMES16 for p, g in (("m_", F.avg), ("s_", F.stddev_pop))])
-    z = F.array(*[(F.col(n) - F.col(f"m_{n}")) / F.coalesce(F.nullif(F.col(f"s_{n}"), F.lit(0.0)), F.lit(1.0)) for n in NAMES16])
-    v = f.crossJoin(F.broadcast(stats)).select((F.col("idx") - 23).alias("idx"), z.alias("v"), "next").persist()
-    centres = clustering.fit(v, 5)
-    if not centres:
-        return v.select(F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("n"), F.col("next").alias("mean_next"), F.col("next").alias("p_hit5")).limit(0)
-    c = v.where("next IS NOT NULL").groupBy(clustering.nearest(F.col("v"), centres)["c"].alias("cluster"))
-    return c.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("next"), 6).alias("mean_next"), F.round(F.avg((F.col("next") >= 5).cast("int")), 6).alias("p_hit5"))
+    z = [((F.col(n) - F.col(f"m_{n}")) / F.coalesce(F.nullif(F.col(f"s_{n}"), F.lit(0.0)), F.lit(1.0))).alias(n) for n in NAMES16]
+    return f.crossJoin(F.broadcast(stats)).select((F.col("idx") - 23).alias("idx"), *z, "next", "ahead5")
+
+
+@query()
+def kmeans_regimes(spark, sf_dir):
+    """Clusters of the scaled features, their number chosen from 4 to 12: size, mean
+    next multiplier, hit rates and best of the next five of each. The k rows of
+    the result are computed before the features are let go."""
+    v = scaled16(spark, sf_dir).persist()
+    try:
+        centres = clustering.chosen(v, list(NAMES16), range(4, 13))
+        schema = "cluster int, n long, mean_next double, p_hit2 double, p_hit5 double, p_hit10 double, mean_best5 double"
+        if not len(centres):
+            return spark.createDataFrame([], schema)
+        hit = lambda t: F.round(F.avg((F.col("next") >= t).cast("int")), 6)
+        c = clustering.assigned(v.where("next IS NOT NULL"), list(NAMES16), centres).groupBy("cluster")
+        rows = c.agg(F.count(F.lit(1)), F.round(F.avg("next"), 6), hit(2), hit(5), hit(10), F.round(F.avg("ahead5"), 6)).collect()
+        return spark.createDataFrame([tuple(r) for r in rows], schema)
+    finally:
+        v.unpersist()
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roundwise.catalog import query
 from roundwise.functions.expressions import outcome, safe_div
 from roundwise.functions.params import SPANS
-from roundwise.operators import joins
+from roundwise.operators import joins, ordered
 from roundwise.plans.fixtures import LOCKS, R, locks, param, rounds
 from roundwise.plans.scans import LEDGER, ledger
 from roundwise.sources import merges
@@ -106,13 +106,13 @@ def calibration_map(spark, sf_dir):
 
 @query(f"WITH {R}, {LEDGER}, p AS (SELECT target, made, hit, max(hit) OVER (PARTITION BY target ORDER BY made ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM ledger), g AS (SELECT *, coalesce(hit > known, known IS NULL AND hit IS NOT NULL) AS newer FROM p), r AS (SELECT *, sum(newer::INT) OVER (PARTITION BY target ORDER BY made) AS era FROM g) SELECT target, made, CAST(row_number() OVER (PARTITION BY target, era ORDER BY made) AS BIGINT) AS generation FROM r")
 def generation_rule(spark, sf_dir):
-    """Generations count up and start at 1 again when a newer hit is known. The
-    sequence of one target's locks is small beside the rounds."""
-    w = Window.partitionBy("target").orderBy("made")
-    p = ledger(spark, sf_dir).withColumn("known", F.max("hit").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    """Generations count up and start at 1 again when a newer hit is known."""
+    by = ("target",)
+    p = ordered.indexed(ledger(spark, sf_dir).select("target", "made", "hit"), by, "made")
+    p = ordered.running_max(p, "known", F.col("hit"), by, inclusive=False)
     newer = F.coalesce(F.col("hit") > F.col("known"), F.col("known").isNull() & F.col("hit").isNotNull())
-    p = p.withColumn("newer", newer.cast("int")).withColumn("era", F.sum("newer").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return p.select("target", "made", F.row_number().over(Window.partitionBy("target", "era").orderBy("made")).cast("long").alias("generation"))
+    p = ordered.carried(p, "era", F.when(newer, F.col("idx")), by)
+    return p.select("target", "made", (F.col("idx") - F.coalesce("era", F.lit(0)) + 1).alias("generation"))
 
 
 @query(f"WITH {R}, {LEDGER}, u AS (SELECT target, made, outcome FROM ledger WHERE made > 500 UNION ALL SELECT target, made, outcome FROM ledger WHERE made <= 500) SELECT * FROM u ORDER BY made DESC, target LIMIT 60")

@@ -195,8 +195,8 @@ def cosine_buckets(spark, sf_dir):
     return similarity.cosine_pairs(rounds(spark, sf_dir).groupBy("source_key").agg(F.array(*[F.count_if(bucket_half_open(F.col("multiplier")) == b).cast("double") for b in range(5)]).alias("v")))
 
 
-@query("WITH v AS (SELECT vec_id, label, embedding FROM embeddings), q AS (SELECT * FROM v WHERE vec_id < 5), d AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS distance FROM q JOIN v ON v.vec_id <> q.vec_id) SELECT query_id, vec_id, distance FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10")
+@query("WITH v AS (SELECT vec_id, label, embedding FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 20 = 0), d AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS distance FROM q JOIN v ON v.vec_id <> q.vec_id) SELECT query_id, vec_id, distance FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10")
 def nearest_vectors(spark, sf_dir):
-    """Exact nearest neighbours of a few query vectors against all rows."""
+    """Exact nearest neighbours, among all rows, of every row whose id is divisible by 20."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return similarity.nearest(v.where("vec_id < 5"), v, k=10)
+    return similarity.nearest(v.where("vec_id % 20 = 0"), v, k=10)

@@ -141,7 +141,8 @@ def hazard_eta(spark, sf_dir):
 @query(f"WITH {I}, w AS (SELECT idx, avg((multiplier >= 10)::INT) OVER (ORDER BY idx ROWS 299 PRECEDING) AS r FROM i) SELECT count(*) AS sample, round(quantile_cont(abs(r - 0.1), 0.35), 9) AS drift FROM w WHERE idx >= 600 AND idx % 12 = 0")
 def entropy_thresholds(spark, sf_dir):
     """The drift threshold calibrates itself: a low quantile of how far the rate
-    of 300 rows was from fair, every twelve rows."""
+    of 300 rows was from fair, every twelve rows. Rates of 300 rows have 301 values at
+    most, so the exact quantile holds no more."""
     c = ordered.framed(sequence(spark, sf_dir), 299, 0, lambda rows: {"r": F.avg((F.col("multiplier") >= 10).cast("int")).over(rows(-299, 0))})
     return c.where("idx >= 600 AND idx % 12 = 0").agg(F.count(F.lit(1)).alias("sample"), F.round(F.percentile(F.abs(F.col("r") - 0.1), 0.35), 9).alias("drift"))
 

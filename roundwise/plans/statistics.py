@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roundwise.catalog import query
 from roundwise.functions.expressions import bucket_closed, bucket_half_open, wilson
 from roundwise.functions.params import BUCKETS, DROUGHTS
+from roundwise.operators import quantiles
 from roundwise.plans.fixtures import R, param, rounds
 from roundwise.plans.scans import LEDGER, SITES, ledger, sites
 
@@ -105,20 +106,14 @@ def threshold_snapshot(spark, sf_dir):
 @query(f"WITH {R} SELECT source_key, quantile_cont(multiplier, 0.25) AS q25, quantile_cont(multiplier, 0.5) AS q50, quantile_cont(multiplier, 0.75) AS q75, quantile_cont(multiplier, 0.9) AS q90 FROM rounds GROUP BY source_key")
 def quantile_summary(spark, sf_dir):
     """Exact interpolated quantiles at (n - 1) q."""
-    q = F.percentile("multiplier", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9))))
-    return rounds(spark, sf_dir).groupBy("source_key").agg(q.alias("q")).select("source_key", *[F.col("q")[i].alias(f"q{n}") for i, n in enumerate((25, 50, 75, 90))])
+    return quantiles.interpolated(rounds(spark, sf_dir), ("source_key",), "multiplier", {f"q{n}": n / 100 for n in (25, 50, 75, 90)})
 
 
 @query(f"WITH {R}, w AS (SELECT source_key, multiplier, 1 + round_id % 7 AS w FROM rounds), v AS (SELECT source_key, multiplier, sum(w) AS w FROM w GROUP BY ALL), c AS (SELECT *, sum(w) OVER (PARTITION BY source_key ORDER BY multiplier) / sum(w) OVER (PARTITION BY source_key) AS share FROM v) SELECT source_key, min(multiplier) FILTER (WHERE share >= 0.5) AS q50, min(multiplier) FILTER (WHERE share >= 0.9) AS q90, round(sum(multiplier * w) / sum(w), 6) AS mean FROM c GROUP BY source_key")
 def weighted_quantile(spark, sf_dir):
-    """First value whose cumulative share of weights reaches q: weights are summed
-    by value first, so the window sees distinct values."""
-    v = rounds(spark, sf_dir).groupBy("source_key", "multiplier").agg(F.sum(1 + F.col("round_id") % 7).alias("w"))
-    whole = Window.partitionBy("source_key")
-    share = F.sum("w").over(whole.orderBy("multiplier")) / F.sum("w").over(whole)
-    c = v.withColumn("share", share)
-    at = lambda q: F.min(F.when(F.col("share") >= q, F.col("multiplier")))
-    return c.groupBy("source_key").agg(at(0.5).alias("q50"), at(0.9).alias("q90"), F.round(F.sum(F.col("multiplier") * F.col("w")) / F.sum("w"), 6).alias("mean"))
+    """First value whose cumulative share of weights reaches q."""
+    found = quantiles.first_reaching(rounds(spark, sf_dir), ("source_key",), "multiplier", 1 + F.col("round_id") % 7, {"q50": 0.5, "q90": 0.9})
+    return found.withColumn("mean", F.round("mean", 6))
 
 
 @query(f"WITH {R}, {LEDGER}, c AS (SELECT target, count(*) FILTER (WHERE outcome = 'win') AS w, count(*) FILTER (WHERE outcome = 'loss') AS l FROM ledger GROUP BY target), p AS (SELECT *, w + l AS n, w / nullif(w + l, 0)::DOUBLE AS p, 1.96 AS z FROM c) SELECT target, w AS wins, l AS losses, round(greatest(0.0, (p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) / (1 + z * z / n)), 9) AS low, round(least(1.0, (p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) / (1 + z * z / n)), 9) AS high FROM p")

@@ -10,16 +10,21 @@ from pyspark.sql import functions as F
 
 from roundwise.catalog import query
 from roundwise.plans.fixtures import R
-from roundwise.sources.merges import Table
+from roundwise.sources.merges import Appended
 from roundwise.streaming import upserts
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under spark.checkpoint.dir or the context's checkpoint folder; a
+    temporary one only in local mode without either."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir")
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="roundwise-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
@@ -35,7 +40,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rounds_upsert(spark, sf_dir):
     """The stream twice over, inserted once."""
     path = work_dir(spark)
-    table = Table(spark, f"{path}/rounds")
+    table = Appended(spark, f"{path}/rounds")
     for turn in ("first", "again"):
         upserts.upsert_rounds(event_stream(spark, sf_dir), table, f"{path}/{turn}").awaitTermination()
     return table.read().groupBy("source_key").agg(F.count(F.lit(1)).alias("n"), F.max("round_id").alias("latest"), F.round(F.sum("multiplier"), 4).alias("total"))
@@ -61,5 +66,9 @@ def stream_windowed_rates(spark, sf_dir):
 def stream_lock_machine(spark, sf_dir):
     """Locks of three targets, resolved and made anew as rounds come in."""
     stream = event_stream(spark, sf_dir).select("round_id", "multiplier", F.explode(F.array(*map(F.lit, (5, 10, 50)))).alias("target"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return upserts.run_now(spark, upserts.lock_machine(stream, {5: 3, 10: 6, 50: 17}), work_dir(spark))
+    held = spark.conf.get(PROVIDER)
+    try:  # the stream takes the setting when it starts, and is over when run_now is
+        spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        return upserts.run_now(spark, upserts.lock_machine(stream, {5: 3, 10: 6, 50: 17}), work_dir(spark))
+    finally:
+        spark.conf.set(PROVIDER, held)

@@ -41,30 +41,52 @@ def patch(stored: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*[F.when(F.col(f"_{c}.on"), F.col(f"_{c}.to")).otherwise(F.col(c)).alias(c) if c in named else F.col(c) for c in stored.columns])
 
 
+class Conflict(RuntimeError):
+    """Somebody else committed the version that a writer was about to commit."""
+
+
 class Table:
-    """A Parquet table that is replaced by writing a new version beside it and
-    then moving a pointer file, so readers see the old or the new version."""
+    """A Parquet table of versions. A version is written beside the last one and
+    committed by creating a file with its number, which fails if there is one: so
+    readers see a whole version, a crash before the commit changes nothing, and of
+    two writers one gets a Conflict. Old versions stay until vacuum."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def _fs(self, path: str):
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
+    def commits(self) -> list[int]:
+        fs, at = self._fs(f"{self.path}/commits")
+        if not fs.exists(at):
+            return []
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(at) if x.getPath().getName().isdigit() and x.getLen() > 0)
+
     def version(self) -> str | None:
-        fs, at = self._fs(f"{self.path}/CURRENT")
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0] if fs.exists(at) else None
+        """The folder of the last committed version."""
+        found = self.commits()
+        return self._folder(found[-1]) if found else None
+
+    def _folder(self, number: int) -> str:
+        return self.spark.read.text(f"{self.path}/commits/{number:012d}").first()[0]
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.version()}")
 
     def replace(self, df: DataFrame, partition_by: list[str] | None = None) -> None:
+        number = (self.commits() or [0])[-1] + 1
         name = f"v-{uuid.uuid4().hex}"
         df.write.partitionBy(*(partition_by or [])).parquet(f"{self.path}/{name}")
-        fs, pointer = self._fs(f"{self.path}/CURRENT")
-        out = fs.create(pointer, True)
+        fs, at = self._fs(f"{self.path}/commits/{number:012d}")
+        if fs.exists(at) and fs.getFileStatus(at).getLen() == 0:
+            fs.delete(at, False)  # of a writer that died between two steps
+        try:
+            out = fs.create(at, False)
+        except Exception as e:
+            fs.delete(self._fs(f"{self.path}/{name}")[1], True)
+            raise Conflict(f"version {number} of {self.path} is there already") from e
         out.write(bytearray(name.encode()))
         out.close()
 
@@ -74,3 +96,40 @@ class Table:
         gone = rows.where(condition).count()
         self.replace(rows.where(~F.coalesce(condition, F.lit(False))))
         return gone
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes all but the last keep versions; how many went."""
+        old = self.commits()[:-keep]
+        for number in old:
+            folder = self._folder(number)
+            for path in (f"{self.path}/commits/{number:012d}", f"{self.path}/{folder}"):
+                fs, at = self._fs(path)
+                fs.delete(at, True)
+        return len(old)
+
+
+class Appended:
+    """A Parquet table of rows that are only ever added, in partitions of ids. A
+    batch reads the partitions that it touches and writes its new rows."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "round_id", block: int = 65_536):
+        self.spark, self.path, self.key, self.block = spark, path.rstrip("/"), key, block
+
+    def exists(self) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("block")
+
+    def add(self, batch: DataFrame, arrival: str) -> None:
+        """Adds the first arrival of each key that is not there yet. A batch that is
+        delivered again, or half written before, adds only what lacks."""
+        others = [c for c in batch.columns if c != self.key]
+        fresh = batch.groupBy(self.key).agg(F.min_by(F.struct(*others), arrival).alias("_x")).select(self.key, "_x.*")
+        fresh = fresh.withColumn("block", F.floor(F.col(self.key) / self.block).cast("long"))
+        if self.exists():
+            touched = [r[0] for r in fresh.select("block").distinct().collect()]
+            stored = self.spark.read.parquet(self.path).where(F.col("block").isin(touched)).select(self.key)
+            fresh = fresh.join(stored, self.key, "left_anti").select(*fresh.columns)
+        fresh.write.mode("append").partitionBy("block").parquet(self.path)

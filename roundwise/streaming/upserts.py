@@ -9,21 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from roundwise.sources.merges import Table, insert_ignore
+from roundwise.sources.merges import Appended
 
 
-def upsert_rounds(stream: DataFrame, table: Table, checkpoint: str, trigger: dict | None = None):
+def upsert_rounds(stream: DataFrame, table: Appended, checkpoint: str, trigger: dict | None = None):
     """Appends rounds whose id is new, one micro-batch after the other. A batch
     that is delivered again changes nothing, so restarts are safe."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        fresh = batch.groupBy("round_id").agg(F.min_by(F.struct(*[c for c in batch.columns if c != "round_id"]), "ts").alias("x")).select("round_id", "x.*").withColumn("_at", F.lit(0))
-        if table.version() is None:
-            table.replace(fresh.drop("_at"))
-        else:
-            table.replace(insert_ignore(table.read(), fresh, ["round_id"], "_at"))
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return stream.writeStream.foreachBatch(lambda batch, _: table.add(batch, "ts")).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 class Locks(StatefulProcessor):

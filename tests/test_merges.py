@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from roundwise.functions.expressions import bucket_closed, bucket_half_open, outcome, token, wilson
-from roundwise.operators import clustering, folds
+from roundwise.operators import folds
 from roundwise.sources import feeds, merges
 from roundwise.streaming import upserts
 
@@ -23,6 +24,27 @@ def test_table_replaces_and_deletes(spark, tmp_path):
     assert t.delete(F.col("k") == 0) == 5 and t.read().count() == 5
     t.replace(t.read().where("id > 5"), ["k"])
     assert sorted(r.id for r in t.read().collect()) == [7, 9]
+    assert t.vacuum(1) == 2 and t.commits() == [3] and t.read().count() == 2
+
+
+def test_of_two_writers_one_gets_a_conflict(spark, tmp_path, monkeypatch):
+    one, two = (merges.Table(spark, f"file://{tmp_path}/t") for _ in range(2))
+    one.replace(spark.range(3))
+    seen = two.commits()
+    one.replace(spark.range(4))
+    monkeypatch.setattr(two, "commits", lambda: seen)
+    with pytest.raises(merges.Conflict):
+        two.replace(spark.range(5))
+    assert one.read().count() == 4
+
+
+def test_appended_rows_stay_as_they_came_first(spark, tmp_path):
+    t = merges.Appended(spark, f"file://{tmp_path}/a", block=10)
+    rows = lambda x: spark.createDataFrame(x, "round_id long, multiplier double, ts long")
+    t.add(rows([(1, 1.0, 5), (1, 2.0, 4), (25, 3.0, 1)]), "ts")
+    t.add(rows([(1, 9.0, 0), (26, 4.0, 1)]), "ts")
+    t.add(rows([(1, 9.0, 0), (26, 4.0, 1)]), "ts")
+    assert sorted((r.round_id, r.multiplier) for r in t.read().collect()) == [(1, 2.0), (25, 3.0), (26, 4.0)]
 
 
 def test_holes_in_closed_buckets(spark):
@@ -59,14 +81,6 @@ def test_hash_is_the_java_hash(spark):
     assert [r[0] for r in df.select(feeds.java_hash(F.col("s"))).collect()] == [java(w) for w in words]
 
 
-def test_kmeans_seeds_and_steps(spark):
-    points = [(i, [float(i % 3 * 10), float(i % 2)]) for i in range(30)]
-    df = spark.createDataFrame(points, "idx long, v array<double>")
-    centres = clustering.fit(df, 3)
-    assert sorted(round(c[0]) for c in centres) == [0, 10, 20] and clustering.bic(df, centres) < clustering.bic(df, centres[:2])
-    assert clustering.fit(df.limit(0), 3) == []
-
-
 def test_sequence_model_repeats_a_constant_history():
     text, sure = folds.predict_sequence(["ABCABCABCA"] * 20)
     assert text[:3] == "ABC" and 0 <= sure <= 100 and folds.forecast_at([], 0) == ""
