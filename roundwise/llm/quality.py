@@ -135,7 +135,8 @@ def step(feature) -> Column:
 def depths(measured: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum: str = "stratum", key: str = "doc_id") -> DataFrame:
     """stratum and depth, how many moves of the chain hold there.
 
-    measured: key, stratum, base_failed and step. labels: key and quality (1: good)."""
+    measured: key, stratum, base_failed and step, of a written table. labels: key and
+    quality (1: good)."""
     good = measured.join(labels.where("quality = 1").select(key).distinct(), key)
     good = good.where(~F.col("base_failed")).groupBy(stratum, key).agg(F.min("step").alias("step"))
     tries = range(len(CHAIN))
@@ -174,7 +175,8 @@ def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, risk: Risk = R
     stratum = F.coalesce(F.col("lang"), F.lit(""))
     good = labels.where("quality = 1").select("doc_id").distinct()
     holdout = with_features(docs.select("doc_id", stratum.alias("stratum"), "text").join(good, "doc_id", "left_semi"))
-    measured = holdout.select("doc_id", "stratum", "_quality.base_failed", step(lambda r: F.col("_quality")[r]).alias("step"))
+    # written first: a filter on it would be pushed into the features and compute them many times
+    measured = staged(holdout.select("doc_id", "stratum", "_quality.base_failed", step(lambda r: F.col("_quality")[r]).alias("step")), "holdout")
     mark = free_name("_stratum", docs)
     into = free_name("_quality", docs)
     seen = with_features(docs.withColumn(mark, stratum), into=into)
