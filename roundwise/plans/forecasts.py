@@ -156,22 +156,6 @@ def lock_cycle(spark, sf_dir):
     return done.groupBy("target").agg(F.max_by(F.struct("generation", "made", "lo", "hi", "outcome"), F.struct("made", "lo")).alias("x"), F.count_if(F.col("outcome") == "win").alias("wins"), F.count_if(F.col("outcome") == "loss").alias("losses")).select("target", "x.*", "wins", "losses")
 
 
-@query()
-def oracle_forecast(spark, sf_dir):
-    """One nested row a target: hits, gap statistics, survival in the window, the
-    forecast window and the fair baseline beside it."""
-    targets = tuple(ORACLE_WINDOWS)
-    since = prob.since(spark, sf_dir, targets)
-    g = prob.gaps(spark, sf_dir, targets)
-    w = param(spark, "target int, width int", ORACLE_WINDOWS.items())
-    q = F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9)))
-    s = since.join(w, "target").join(g, "target", "left").groupBy("target", "width", "since").agg(F.count("gap").alias("n"), F.percentile("gap", q).alias("q"), F.avg("gap").alias("mean"), F.count_if(F.col("gap") > F.col("since")).alias("a"), F.count_if(F.col("gap") > F.col("since") + F.col("width")).alias("b"))
-    fair = 1 - F.pow(1 - 1.0 / F.col("target"), F.col("width"))
-    p = F.when(F.col("n") < 20, None).when(F.col("a") == 0, 1.0).otherwise(1 - F.col("b") / F.nullif(F.col("a"), F.lit(0)))
-    ahead = F.greatest(F.lit(1), F.floor(F.col("q")[1] - F.col("since") + 0.5))
-    return s.select("target", F.when(F.col("n") < 10, "no-data").otherwise("ready").alias("status"), "since", F.struct("n", F.round(F.col("q")[0], 3).alias("q25"), F.round(F.col("q")[1], 3).alias("median"), F.round(F.col("q")[2], 3).alias("q75"), F.round(F.col("q")[3], 3).alias("q90"), F.round("mean", 3).alias("mean")).alias("gaps"), F.struct(ahead.alias("from_now"), (ahead + F.col("width") - 1).alias("to")).alias("window"), F.round(p, 6).alias("p_window"), F.round(fair, 6).alias("fair"))
-
-
 @query()
 def locked_windows(spark, sf_dir):
     """Windows of fixed and of adaptive span around the hazard's median wait."""
