@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundwise.catalog import query
+from roundwise.catalog import ORACLES, query
 from roundwise.functions.expressions import token
 from roundwise.functions.params import ORACLE_WINDOWS, SPANS
 from roundwise.operators import clustering, folds, ordered
 from roundwise.plans import probabilities as prob
+from roundwise.plans import sequences, statistics
 from roundwise.plans.fixtures import R, param, rounds
 from roundwise.plans.sequences import TOKEN, I, by_target, sequence
 
@@ -156,7 +157,14 @@ def lock_cycle(spark, sf_dir):
     return done.groupBy("target").agg(F.max_by(F.struct("generation", "made", "lo", "hi", "outcome"), F.struct("made", "lo")).alias("x"), F.count_if(F.col("outcome") == "win").alias("wins"), F.count_if(F.col("outcome") == "loss").alias("losses")).select("target", "x.*", "wins", "losses")
 
 
-@query()
+_SPANS = ", ".join(f"({t}, {n})" for t, n in SPANS.items())
+
+
+@query(f"""WITH h AS ({ORACLES["hazard_curve"]}), g AS ({ORACLES["gap_pressure"]}), sp(target, span) AS (VALUES {_SPANS}),
+p AS (SELECT g.target, span, greatest(0.00005, least(0.62, hazard * (1 + 0.38 * soft + 0.75 * hard))) AS p FROM h JOIN g ON h.target = g.target AND h.gap = least(since, 60) JOIN sp ON sp.target = g.target),
+w AS (SELECT *, greatest(1.0, ln(0.8) / ln(1 - p)) AS q20, greatest(1.0, ln(0.5) / ln(1 - p)) AS q50, greatest(1.0, ln(1 - 0.8) / ln(1 - p)) AS q80 FROM p),
+v AS (SELECT target, p, q50, 'fixed' AS variant, span FROM w UNION ALL SELECT target, p, q50, 'adaptive_span', greatest(span, least(3 * span, ceil((q80 - q20) / 2))) FROM w)
+SELECT target, round(p, 6) AS p_hit1, round(q50, 3) AS q50, variant, CAST(greatest(1, floor(q50 - span / 2)) AS BIGINT) AS from_now, CAST(span AS BIGINT) AS span FROM v""")
 def locked_windows(spark, sf_dir):
     """Windows of fixed and of adaptive span around the hazard's median wait."""
     targets = (5, 10, 50)
@@ -173,24 +181,33 @@ def locked_windows(spark, sf_dir):
     return s.select("target", F.round("p", 6).alias("p_hit1"), F.round("q50", 3).alias("q50"), F.explode(F.array(make("fixed", F.col("span")), make("adaptive_span", wide))).alias("x")).select("target", "p_hit1", "q50", "x.*")
 
 
-@query()
+#: Rows below which the report has only what needs no model.
+WARM = 200
+_REPORT = (
+    ("buckets", "bucket_probs_closed", "name", "probability"), ("recent", "threshold_snapshot", "target", "recent"), ("fair", "threshold_snapshot", "target", "fair"),
+    ("value", "threshold_snapshot", "target", "ev"), ("pressure", "gap_pressure", "target", "hard"), ("soft_pressure", "gap_pressure", "target", "soft"),
+    *[("trend", "trend_context", f"'{k}'", k) for k in ("short", "long", "trend", "vol")], ("analogues", "analogues_weighted", "'p_hit5'", "p_hit5"), ("analogues", "analogues_weighted", "'n'", "n"),
+)
+_ALWAYS = ("buckets", "recent", "fair", "value")
+_REPORT_SQL = " UNION ALL ".join(f"SELECT '{section}' AS section, CAST({key} AS VARCHAR) AS key, CAST({value} AS DOUBLE) AS value FROM ({ORACLES[name]})" for section, name, key, value in _REPORT)
+
+
+@query(f"""WITH r AS ({_REPORT_SQL}), n AS (SELECT count(*) AS n FROM events) SELECT section, key, value FROM r, n WHERE n >= {WARM} OR section IN {_ALWAYS}
+UNION ALL SELECT 'status', 'ready', CAST(n >= {WARM} AS INT)::DOUBLE FROM n""")
 def next_round_report(spark, sf_dir):
-    """Section, key, value: the parts of the next-round report in long form."""
-    part = lambda df, section, key, value: df.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"))
-    from roundwise.plans import sequences, statistics
-
-    trend = sequences.trend_context(spark, sf_dir).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("short", "long", "trend", "vol"))), F.array("short", "long", "trend", "vol"))))
-    parts = [
-        part(statistics.bucket_probs_closed(spark, sf_dir), "buckets", "name", "probability"),
-        part(statistics.threshold_snapshot(spark, sf_dir), "recent", "target", "recent"),
-        part(statistics.threshold_snapshot(spark, sf_dir), "fair", "target", "fair"),
-        part(prob.gap_pressure(spark, sf_dir), "pressure", "target", "hard"),
-        part(trend, "trend", "key", "value"),
-        part(analogues_weighted(spark, sf_dir).withColumn("k", F.lit("p_hit5")), "analogues", "k", "p_hit5"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """Section, key, value: the parts of the next-round report in long form. Under
+    WARM rows only rates are there, and status says so."""
+    plans = {"bucket_probs_closed": statistics.bucket_probs_closed, "threshold_snapshot": statistics.threshold_snapshot, "gap_pressure": prob.gap_pressure, "trend_context": sequences.trend_context, "analogues_weighted": analogues_weighted}
+    n = F.broadcast(rounds(spark, sf_dir).agg(F.count(F.lit(1)).alias("n")))
+    out = n.select(F.lit("status").alias("section"), F.lit("ready").alias("key"), (F.col("n") >= WARM).cast("int").cast("double").alias("value"))
+    cells: dict[str, list] = {}
+    for section, name, key, value in _REPORT:
+        named = F.lit(key.strip("'")) if key.startswith("'") else F.col(key).cast("string")
+        cells.setdefault(name, []).append(F.struct(F.lit(section).alias("section"), named.alias("key"), F.col(value).cast("double").alias("value")))
+    for name, parts in cells.items():  # each part is computed once, whatever sections it has
+        made = plans[name](spark, sf_dir).select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+        warm = F.col("section").isin(*_ALWAYS) | (F.col("n") >= WARM)
+        out = out.unionByName(made.crossJoin(n).where(warm).drop("n"))
     return out
 
 
@@ -203,11 +220,11 @@ def ev_table(spark, sf_dir):
     return p.groupBy("style").agg(F.max_by("target", F.struct("v", -F.col("target"))).alias("target"), F.round(F.max("v") - 1, 6).alias("ev"))
 
 
-@query()
+@query(f"""WITH s AS ({ORACLES["threshold_snapshot"]}), l AS ({ORACLES["lag1_corr"]}),
+e AS (SELECT s.target, recent, fair, ev, coalesce(lag1 > 0.18, false) AS clustered, CASE WHEN s.target <= 10 THEN 0.04 WHEN s.target <= 20 THEN 0.02 ELSE 0.0 END AS gate FROM s LEFT JOIN l USING (target))
+SELECT target, recent, fair, round(ev - CASE WHEN clustered THEN 0.03 ELSE 0.0 END, 9) AS ev, CASE WHEN clustered THEN 'CLUSTERED' ELSE 'RANDOM' END AS regime, ev - CASE WHEN clustered THEN 0.03 ELSE 0.0 END > gate AS open FROM e""")
 def edge_gates(spark, sf_dir):
     """Per target, whether the value at the recent rate passes its gate."""
-    from roundwise.plans import sequences, statistics
-
     gate = F.when(F.col("target") <= 10, 0.04).when(F.col("target") <= 20, 0.02).otherwise(0.0)
     lag = F.broadcast(sequences.lag1_corr(spark, sf_dir))
     s = statistics.threshold_snapshot(spark, sf_dir).join(lag, "target", "left")
