@@ -117,12 +117,6 @@ def site_patch(spark, sf_dir):
     return merges.patch(sites(spark, sf_dir), changes, ["source_key"]).select("source_key", "enabled", "last_error")
 
 
-@query(f"WITH {R} SELECT source_key, count(*) AS n FROM rounds WHERE source_key <> 'click' GROUP BY source_key")
-def delete_by_source(spark, sf_dir):
-    """What stays after a source's rounds are deleted."""
-    return rounds(spark, sf_dir).where("source_key <> 'click'").groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("WITH k AS (SELECT event_id, CAST(floor(event_id / 10) AS BIGINT) AS round_id, substr('ABC', CAST(CAST(json_extract(props, '$.k') AS BIGINT) % 3 + 1 AS INT), 1) AS l FROM events), s AS (SELECT round_id, string_agg(l, '' ORDER BY event_id) AS actual FROM k GROUP BY round_id) SELECT round_id, substr(actual, 2) || 'A' AS forecast, actual, CASE WHEN substr(actual, 2) || 'A' = actual OR round_id % 2 = 0 THEN 'WIN' ELSE 'LOSS' END AS outcome FROM s WHERE length(actual) = 10")
 def tower_upsert(spark, sf_dir):
     """History of sequence forecasts: the last delivery of a round stays, outcomes

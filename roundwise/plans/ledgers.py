@@ -121,17 +121,17 @@ def union_history(spark, sf_dir):
     return x.where("made > 500").unionByName(x.where("made <= 500")).orderBy(F.desc("made"), "target").limit(60)
 
 
-SENT = f"{R}, {LEDGER}, sent AS (SELECT target, lo, hi, hit, 1 AS generation, 1 AS arrival FROM ledger WHERE made % 200 = 0 UNION ALL SELECT target, lo, hi, CASE WHEN made % 300 = 0 THEN NULL ELSE hit + 1 END, 2, 2 FROM ledger)"
+SENT = f"{R}, {LEDGER}, sent AS (SELECT target, lo, hi, hit, 1 AS generation, 1 AS arrival, 'first' AS mode, 0.5 AS prob FROM ledger WHERE made % 200 = 0 UNION ALL SELECT target, lo, hi, CASE WHEN made % 300 = 0 THEN NULL ELSE hit + 1 END, 2, 2, CASE WHEN made % 400 = 0 THEN NULL ELSE 'again' END, CASE WHEN made % 600 = 0 THEN 0.25 END FROM ledger)"
 
 
-@query(f"WITH {SENT}, m AS (SELECT target, lo, hi, min(hit) AS hit, max(generation) AS generation FROM sent WHERE hi >= lo GROUP BY ALL) SELECT *, CASE WHEN hit BETWEEN lo AND hi THEN 'win' WHEN hit < lo THEN 'early' ELSE 'loss' END AS outcome FROM m")
+@query(f"WITH {SENT}, m AS (SELECT target, lo, hi, min(hit) AS hit, max(generation) AS generation, max_by(mode, arrival) FILTER (WHERE mode IS NOT NULL) AS mode, max_by(prob, arrival) FILTER (WHERE prob IS NOT NULL)::DOUBLE AS prob FROM sent WHERE hi >= lo GROUP BY target, lo, hi) SELECT *, CASE WHEN hit BETWEEN lo AND hi THEN 'win' WHEN hit < lo THEN 'early' ELSE 'loss' END AS outcome FROM m")
 def ledger_merge(spark, sf_dir):
-    """Conflicts keep the least hit and the greatest generation; the outcome is
-    computed again."""
+    """Conflicts keep the least hit, the greatest generation and of the other columns
+    the last value that is there; the outcome is computed again."""
     x = ledger(spark, sf_dir)
-    first = x.where("made % 200 = 0").select("target", "lo", "hi", "hit", F.lit(1).alias("generation"))
-    again = x.select("target", "lo", "hi", F.when(F.col("made") % 300 != 0, F.col("hit") + 1).alias("hit"), F.lit(2).alias("generation"))
-    return merges.merge_forecasts(first, again)
+    first = x.where("made % 200 = 0").select("target", "lo", "hi", "hit", F.lit(1).alias("generation"), F.lit("first").alias("mode"), F.lit(0.5).alias("prob"))
+    again = x.select("target", "lo", "hi", F.when(F.col("made") % 300 != 0, F.col("hit") + 1).alias("hit"), F.lit(2).alias("generation"), F.when(F.col("made") % 400 != 0, "again").alias("mode"), F.when(F.col("made") % 600 == 0, 0.25).alias("prob"), F.lit(2).alias("arrival"))
+    return merges.merge_forecasts(first, again, ("mode", "prob"), "arrival")
 
 
 @query(f"WITH {R}, {LEDGER}, n AS (SELECT max(round_id) AS now FROM rounds) SELECT target, made, lo, hi, greatest(0, lo - now) AS rounds_to_window, greatest(0, hi - now) AS rounds_left, '{{\"span\":' || span || '}}' AS detail FROM ledger, n WHERE made >= now - 400")

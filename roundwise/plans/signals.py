@@ -157,16 +157,6 @@ def blend_weights(spark, sf_dir):
     return s.select("samples", F.round(inv("a") / (inv("a") + inv("b")), 9).alias("recent"), F.round(inv("b") / (inv("a") + inv("b")), 9).alias("fair"))
 
 
-@query(f"WITH {R}, {LOCKS} SELECT target, max(made) AS made, max(lo) AS lo, max(hi) AS hi, CASE WHEN target > 20 THEN 'consensus' ELSE 'plain' END AS source FROM locks GROUP BY target")
-def lock_roundtrip(spark, sf_dir):
-    """Active locks through JSON state and back, replaced source by source."""
-    newest = locks(spark, sf_dir).groupBy("target").agg(F.max("made").alias("made"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
-    state = newest.select("target", F.when(F.col("target") > 20, "consensus").otherwise("plain").alias("source"), F.to_json(F.struct("made", "lo", "hi")).alias("eta_json"))
-    kept, replaced = state.where("source <> 'plain'"), state.where("source = 'plain'")
-    both = kept.unionByName(replaced)
-    return both.select("target", F.from_json("eta_json", "made long, lo long, hi long").alias("x"), "source").select("target", "x.*", "source")
-
-
 @query(f"WITH {prob.G}, w(target, k) AS (VALUES (5, {ORACLE_WINDOWS[5]}), (10, {ORACLE_WINDOWS[10]}), (50, {ORACLE_WINDOWS[50]})) SELECT target, k AS width, round(1 - pow(1 - 1.0 / target, k), 9) AS fair, round(avg((gap <= k)::INT), 9) AS seen FROM gaps JOIN w USING (target) GROUP BY ALL")
 def window_chances(spark, sf_dir):
     """Share of gaps within each forecast window beside the fair chance."""

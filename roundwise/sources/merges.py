@@ -24,11 +24,15 @@ def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str], arrival: str) -
     return every.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_at").alias("_x")).select(*keys, "_x.*").select(*stored.columns)
 
 
-def merge_forecasts(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """target, lo, hi, hit, generation: windows that end before they begin are
-    dropped; equal windows merge."""
-    every = stored.unionByName(fresh).where("hi >= lo")
-    merged = every.groupBy("target", "lo", "hi").agg(F.min("hit").alias("hit"), F.max("generation").alias("generation"))
+def merge_forecasts(stored: DataFrame, fresh: DataFrame, kept: tuple[str, ...] = (), arrival: str | None = None) -> DataFrame:
+    """target, lo, hi, hit, generation and the columns of kept: windows that end
+    before they begin are dropped; equal windows merge. Of kept, the last value by
+    arrival that is not null stays (stored ones are the earliest)."""
+    names = ["target", "lo", "hi", "hit", "generation", *kept]
+    one = lambda df, at: df.select(*names, at.alias("_at"))
+    every = one(stored, F.lit(-1).cast("long")).unionByName(one(fresh, F.col(arrival).cast("long") if arrival else F.lit(0).cast("long"))).where("hi >= lo")
+    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in kept]
+    merged = every.groupBy("target", "lo", "hi").agg(F.min("hit").alias("hit"), F.max("generation").alias("generation"), *last)
     return merged.withColumn("outcome", outcome(F.col("lo"), F.col("hi"), F.col("hit")))
 
 
@@ -97,6 +101,13 @@ class Table:
         self.replace(rows.where(~F.coalesce(condition, F.lit(False))))
         return gone
 
+    def replace_where(self, column: str, value, df: DataFrame) -> None:
+        """Rows whose column has the value go, and those of df come in their place."""
+        if self.version() is None:
+            self.replace(df)
+        else:
+            self.replace(self.read().where(~F.col(column).eqNullSafe(F.lit(value))).unionByName(df))
+
     def vacuum(self, keep: int = 2) -> int:
         """Removes all but the last keep versions; how many went."""
         old = self.commits()[:-keep]
@@ -133,3 +144,12 @@ class Appended:
             stored = self.spark.read.parquet(self.path).where(F.col("block").isin(touched)).select(self.key)
             fresh = fresh.join(stored, self.key, "left_anti").select(*fresh.columns)
         fresh.write.mode("append").partitionBy("block").parquet(self.path)
+
+
+def delete_cascade(parent: Table, key: str, value, children: dict[Table, str]) -> dict[str, int]:
+    """Deletes the parent's rows of a key, and the children's rows that point to
+    them; how many went, by path. A key is required."""
+    if value is None:
+        raise ValueError(f"{key} is required")
+    gone = {child.path: child.delete(F.col(column) == value) for child, column in children.items()}
+    return gone | {parent.path: parent.delete(F.col(key) == value)}
