@@ -30,11 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def staging_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all that this application staged: for callers whose results are
+    written, since a result that is still lazy reads some of it."""
+    _delete(spark, staging_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: this cuts the
     lineage, is computed once, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
     held = spark.conf.get(BATCH)
     try:  # small batches for Python workers, for this write only
         spark.conf.set(BATCH, str(min(int(held), 1000) if int(held) > 0 else 1000))
@@ -50,10 +66,7 @@ def unstage(df: DataFrame | None) -> None:
     """Deletes what staged() wrote, when nothing reads it any longer."""
     path = getattr(df, "_staged_at", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

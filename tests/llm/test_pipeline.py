@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import tiktoken
 
-from roundwise.llm import bpe, simhash
+from roundwise.llm import bpe, common, simhash
 from tests.llm.test_pii import brute as pii_spans
 from tests.llm.test_quality import brute as quality_of
 
@@ -50,3 +50,24 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         taken[r.doc_id % 3] += len(re.findall(r"\S+", clean))
     for s, w in enumerate((5, 2, 1)):
         assert abs(taken[s] - total * w / 8) <= 95
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    """No documents, or none that stay: every stage gives no rows and its columns."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for rows in ([], [(1, "too short", "en", "s", 9), (None, None, None, None, None)]):
+        path = f"{tmp_path}/{len(rows)}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        assert corpus_pipeline.run(spark, path).count() == 0
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, path).columns == docs.columns, name
+
+
+def test_sweep_removes_what_was_staged(spark):
+    kept = common.staged(spark.range(3), "numbers")
+    assert kept.count() == 3
+    common.sweep(spark)
+    at = spark._jvm.org.apache.hadoop.fs.Path(common.staging_dir(spark))
+    assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

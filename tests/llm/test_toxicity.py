@@ -57,3 +57,38 @@ def test_held_out_and_odd_rows(spark):
     scored = [r.score for r in tox.score(odd, model).collect()]
     assert scored[0] == scored[1] == scored[2] < 0.3 and min(scored[3:]) >= 0.3
     assert tox.fit([]).score_all(["x"])[0] < 0.3
+
+
+def test_empty_tables_and_long_texts(spark):
+    """Nothing to learn from, nothing to score, a text of a million words, ties."""
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in corpus(120, 3)] + [(None, "grubhead", "x")], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in corpus(120, 3)] * 2 + [(None, 1)], "doc_id long, toxic int")
+    everything = tox.F.lit(True)
+    model = tox.learn(docs, labels, everything)
+    long = [("a", "thon rean " * 500_000 + "grubhead snotface"), ("a", "thon rean " * 500_000), ("b", "grubhead snotface"), ("b", "grubhead snotface")]
+    got = [r.score for r in tox.score(spark.createDataFrame(long, "doc_id string, text string"), model).collect()]
+    assert got[0] >= 0.3 > got[1] and got[2] == got[3] >= 0.3
+    assert tox.score(docs.limit(0), model).count() == 0
+    blank = tox.learn(docs, labels.limit(0), everything)
+    assert blank.score_all(["grubhead snotface", None])[0] < 0.3
+
+
+def test_scores_equal_brute_force():
+    """A document's score from the weights of its words' subsequences, one by one."""
+    model = tox.fit([(y, t) for _, t, y in corpus(200, 5)])
+
+    def margin(word):
+        total = 0.0
+        p, w = tox.subsequences([word])
+        for place, weight in zip(p[0], w[0], strict=True):
+            total += model.weights[place] * weight
+        return max(-3.0, total + model.bias)
+
+    for _, t, _ in corpus(20, 6) + [(0, "Grub-head! s n o t f a c e, well", 1), (0, "", 0)]:
+        best = {}
+        for sentence in tox.sentences(t):
+            for token in sentence:
+                best[token] = max(map(margin, tox.cleaned(token)), default=-3.0)
+        top = [-3.0, -3.0, *sorted(best.values())][-2:]
+        a, b, c = model.curve
+        assert abs(model.score_all([t])[0] - 1 / (1 + np.exp(-(a + b * top[1] + c * top[0])))) < 1e-9
