@@ -45,6 +45,8 @@ CHAIN: tuple[tuple[str, float], ...] = (
 
 #: Strata whose depths are broadcast; more are joined by shuffle.
 FEW = 10_000
+#: Labelled ids that are broadcast: 8 bytes each.
+LABELS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -173,8 +175,11 @@ def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, risk: Risk = R
     """The rows of docs that pass, with the columns of docs. Cutoffs need the
     features of labelled good documents only, the verdict those of all."""
     stratum = F.coalesce(F.col("lang"), F.lit(""))
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    holdout = with_features(docs.select("doc_id", stratum.alias("stratum"), "text").join(good, "doc_id", "left_semi"))
+    good = staged(labels.where("quality = 1").select("doc_id").distinct(), "labelled")
+    holdout = docs.select("doc_id", stratum.alias("stratum"), "text")
+    if good.count() <= LABELS:  # beyond, features of all are cheaper than to shuffle texts
+        holdout = holdout.join(F.broadcast(good), "doc_id", "left_semi")
+    holdout = with_features(holdout)
     # written first: a filter on it would be pushed into the features and compute them many times
     measured = staged(holdout.select("doc_id", "stratum", "_quality.base_failed", step(lambda r: F.col("_quality")[r]).alias("step")), "holdout")
     mark = free_name("_stratum", docs)
