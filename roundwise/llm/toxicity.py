@@ -50,7 +50,7 @@ HASH = 18
 SPAN, WIDTH, STEP = 6, 24, 12
 DECAY = 0.5
 #: Tokens that a worker keeps, and the longest of them.
-MEMO, LONG = 400_000, 64
+MEMO, LONG = 600_000, 64
 #: A word is told from chance by twice the log-likelihood ratio of its counts.
 LIFT = 8.0
 #: Words of a sentence at most; longer ones are cut.
@@ -140,6 +140,12 @@ def sentences(text: str | None) -> list[list[str]]:
     return out
 
 
+def tokens(text: str | None) -> set[str]:
+    """The tokens of all sentences."""
+    low = (text or "").lower()
+    return {*low.split(), *["".join(m.split()) for m in SPACED.findall(low)]}
+
+
 def highest(bag: list[list[str]], of) -> list[tuple[float, str]]:
     """The highest word of each sentence, once a word, in falling order."""
     best = {}
@@ -155,7 +161,7 @@ class Model:
     weights: np.ndarray  # of each place
     bias: float
     curve: tuple[float, float, float]  # constant, highest and second margin
-    memo: dict[str, float] = field(default_factory=dict)
+    memo: dict[str, tuple[float, str]] = field(default_factory=dict)  # token to its highest word
 
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
@@ -172,15 +178,14 @@ class Model:
     def score_all(self, texts: list[str | None]) -> list[float]:
         if len(self.memo) > MEMO:
             self.memo.clear()
-        found = [sentences(t) for t in texts]
-        missing = list({t for x in found for s in x for t in s if t not in self.memo})
+        found = [tokens(t) for t in texts]
+        missing = list({t for x in found for t in x if t not in self.memo})
         parts = [cleaned(t) for t in missing]
         distinct = list(dict.fromkeys(w for x in parts for w in x))
         of = dict(zip(distinct, self.margins(distinct).tolist(), strict=True))
-        now = {t: max((of[w] for w in x), default=-3.0) for t, x in zip(missing, parts, strict=True)}
-        self.memo.update(now)
+        self.memo.update((t, max(((of[w], w) for w in x), default=(-3.0, ""))) for t, x in zip(missing, parts, strict=True))
         get = self.memo.__getitem__
-        out = [self.score(sorted({t: get(t) for s in bag for t in s}.values())[-2:]) for bag in found]
+        out = [self.score(sorted({w: m for m, w in map(get, x)}.values())[-2:]) for x in found]
         for t in missing:
             if len(t) > LONG:
                 del self.memo[t]
@@ -267,11 +272,11 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = S
     """Labels of learnable ids; at most about sample documents of each label, and
     chars characters of each."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learnable).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    found = docs.select("doc_id", "text").join(known, "doc_id")
-    sizes = {r["toxic"]: r for r in found.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars")).collect()}
+    sizes = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("chars")).join(known, "doc_id").groupBy("toxic")
+    limit = {r["toxic"]: min(sample / r["n"], chars / max(1, r["chars"])) for r in sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).collect()}
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000)) / 1e6
-    limit = {y: min(sample / r["n"], chars / max(1, r["chars"])) for y, r in sizes.items()}
-    picked = found.where(share < F.when(F.col("toxic") == 1, limit.get(1, 0.0)).otherwise(limit.get(0, 0.0)))
+    ids = known.where(share < F.when(F.col("toxic") == 1, limit.get(1, 0.0)).otherwise(limit.get(0, 0.0)))
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # about twice sample ids
     rows = picked.select("toxic", "text").collect()
     return fit(sorted((r["toxic"], r["text"] or "") for r in rows))
 

@@ -31,7 +31,8 @@ def test_kernel_equals_brute_force():
 
 def test_tokens_of_gapped_words():
     assert tox.cleaned("s.t*u-p.i.d!") == ["stupid"] and tox.cleaned("...") == []
-    assert tox.sentences("So S t u p i d really. Yes!\nno") == [["so", "s", "t", "u", "p", "i", "d", "really", "sostupid"[2:]], ["yes"], ["no"]] or "stupid" in tox.sentences("a S t u p i d really")[0]
+    assert "stupid" in tox.sentences("really. S t u p i d really")[1] and "stupid" in tox.tokens("so S t u p i d really")
+    assert tox.sentences("One two. Yes!\nno.net") == [["one", "two"], ["yes"], ["no.net"]]
     assert max(map(len, tox.cleaned("x" * 1000))) == tox.WIDTH
 
 
@@ -86,9 +87,9 @@ def test_scores_equal_brute_force():
 
     for _, t, _ in corpus(20, 6) + [(0, "Grub-head! s n o t f a c e, well", 1), (0, "", 0)]:
         best = {}
-        for sentence in tox.sentences(t):
-            for token in sentence:
-                best[token] = max(map(margin, tox.cleaned(token)), default=-3.0)
+        for token in tox.tokens(t):
+            m, word = max(((margin(w), w) for w in tox.cleaned(token)), default=(-3.0, ""))
+            best[word] = m
         top = [-3.0, -3.0, *sorted(best.values())][-2:]
         a, b, c = model.curve
         assert abs(model.score_all([t])[0] - 1 / (1 + np.exp(-(a + b * top[1] + c * top[0])))) < 1e-9
