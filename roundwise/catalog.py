@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from roundwise.plans import forecasts, ingests, ledgers, oracles, probabilities, scans, sequences, services, signals, statistics, streams  # noqa: E402, F401
+from roundwise.plans import forecasts, ingests, ledgers, oracles, preconditions, probabilities, scans, sequences, services, signals, statistics, streams  # noqa: E402, F401
