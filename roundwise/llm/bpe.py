@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from roundwise.llm.common import pieces, table
 
 MASK = (1 << 64) - 1
-#: Pre-tokens that a worker keeps, and the longest of them.
-MEMO, LONG = 200_000, 64
+#: Pre-tokens that a worker keeps (about 150 bytes each), and the longest of them.
+MEMO, LONG = 600_000, 64
 
 
 def _mix(h: int, d: int) -> int:
@@ -126,7 +126,11 @@ class Codec:
         self.ranks, self.pattern = ranks, pattern
         keys = sorted(ranks, key=ranks.__getitem__)
         self.index, self.ids = PerfectHash(keys), [ranks[k] for k in keys]
-        self.token = {i: k for k, i in ranks.items()}
+        size = max(ranks.values(), default=-1) + 1
+        self.known, self.length = np.zeros(size, bool), np.zeros(size, np.int64)
+        self.known[self.ids], self.length[self.ids] = True, [len(k) for k in keys]
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(keys), np.uint8)  # in the order of ids, as keys are
         self.memo: Memo | None = None
 
     def __getstate__(self):
@@ -140,7 +144,16 @@ class Codec:
         return b"".join(map(self.memo.__getitem__, regex.findall(self.pattern, text)))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of all tokens, copied out of one array of the vocabulary."""
+        out = []
+        for at in range(0, len(ids), 4 << 20):
+            i = np.frombuffer(ids[at : at + (4 << 20)], "<u4")
+            if not self.known[i].all():
+                raise KeyError("an id is not in the vocabulary")
+            n = self.length[i]
+            end = np.cumsum(n)
+            out.append(self.flat[np.repeat(self.start[i] - end + n, n) + np.arange(end[-1])].tobytes())
+        return b"".join(out)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
