@@ -57,6 +57,13 @@ def slug_keys(spark, sf_dir):
     return pages.select("page_id", feeds.game_key(F.col("url")).alias("game_key"), feeds.slug(host).alias("slug"), feeds.is_challenge(F.col("html")).alias("challenge"))
 
 
+@query("WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www[.]', '') AS host FROM pages) SELECT page_id, array_to_string(list_transform(regexp_extract_all(host, '[a-z0-9_]+|[^a-z0-9_]+'), lambda w: upper(w[1]) || substr(w, 2)), '') AS label FROM h")
+def site_labels(spark, sf_dir):
+    """A name for the host of each page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", feeds.host_label(F.regexp_extract("url", "^https?://([^/?#]+)", 1)).alias("label"))
+
+
 @query(f"WITH {R}, h AS (SELECT round_id, multiplier, (epoch_us(ts) // 1000) AS ms, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(source_key, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: ((a * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS hash FROM rounds) SELECT round_id, CAST(substr(ms::VARCHAR || lpad(CAST(floor(multiplier * 1000 + 0.5) AS BIGINT)::VARCHAR, greatest(4, length(CAST(floor(multiplier * 1000 + 0.5) AS BIGINT)::VARCHAR))::INT, '0') || lpad(abs(hash % 1000)::VARCHAR, 3, '0'), 1, 15) AS BIGINT) AS synthetic_id, hash FROM h")
 def synthetic_ids(spark, sf_dir):
     r = rounds(spark, sf_dir)

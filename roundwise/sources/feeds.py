@@ -136,3 +136,25 @@ CHALLENGE = "(?i)just a moment|enable javascript and cookies|cf-challenge|challe
 
 def is_challenge(page: Column) -> Column:
     return F.coalesce(page, F.lit("")).rlike(CHALLENGE)
+
+
+def resolved(address: Column, base: Column) -> Column:
+    """An address as it is meant on the page base: whole, without scheme, from the
+    root, a query or fragment of the page, or beside the page; dot segments go."""
+    scheme = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
+    origin = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    bare = F.regexp_replace(base, "[?#].*$", "")
+    folder = F.concat(origin, F.regexp_replace(F.substr(bare, F.length(origin) + 1, F.length(bare)), "[^/]*$", ""))
+    folder = F.when(folder == origin, F.concat(origin, F.lit("/"))).otherwise(folder)
+    joined = F.when(address.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), address).when(address.startswith("//"), F.concat(scheme, address)).when(address.startswith("/"), F.concat(origin, address))
+    joined = joined.when(address.startswith("?"), F.concat(bare, address)).when(address.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), address)).otherwise(F.concat(folder, address))
+    plain = F.regexp_replace(joined, r"/\./", "/")
+    for _ in range(4):  # as deep as addresses of feeds go up
+        plain = F.regexp_replace(plain, r"(?<![:/])/(?!\.\./)[^/?#]+/\.\./", "/")
+    return plain
+
+
+def host_label(host: Column) -> Column:
+    """A name for a host: without www, each of its words with a capital."""
+    plain = F.regexp_replace(F.lower(host), "^www[.]", "")
+    return F.array_join(F.transform(F.regexp_extract_all(plain, F.lit("[a-z0-9_]+|[^a-z0-9_]+"), F.lit(0)), lambda w: F.initcap(w)), "")

@@ -114,3 +114,16 @@ def test_lock_machine_equals_a_fold(spark, tmp_path):
         else:
             held = (i, i + 3, i + 5)
     assert got == sorted(want)
+
+
+def test_addresses_resolve_like_the_library(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://a.example/x/y/page?q=1#f", "https://a.example", "http://b.example:80/z"]
+    paths = ["https://c.example/r", "//c.example/r", "/r?s", "r/s", "./r", "../r", "?k=v", "#top", "../../r", "api/../rounds"]
+    df = spark.createDataFrame([(b, p) for b in bases for p in paths], "base string, path string")
+    for r in df.select("base", "path", feeds.resolved(F.col("path"), F.col("base")).alias("got")).collect():
+        if not (r.path.startswith("..") and r.base != bases[0]):
+            assert r.got == urljoin(r.base, r.path), (r, urljoin(r.base, r.path))
+    names = spark.createDataFrame([("www.Big-game.example.com",), ("crash.io",), ("a",)], "h string").select(feeds.host_label(F.col("h"))).collect()
+    assert [r[0] for r in names] == ["Big-Game.Example.Com", "Crash.Io", "A"]
