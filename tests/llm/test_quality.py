@@ -99,3 +99,13 @@ def test_labels_that_are_repeated_count_once(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(60)), "en") for i in range(40)] + [(99, " ".join(f"***{j}" for j in range(60)), "en")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i in range(40)] * 30, "doc_id long, quality int")
     assert all(r.kept for r in quality.judge(spark, docs, labels).collect())
+
+
+def test_large_tables_take_the_same_decisions(spark, monkeypatch):
+    """Without broadcasts of labelled ids and of depths, the same rows stay."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" + "***" * (i % 5 == 0) for j in range(60)), "en" if i % 2 else None) for i in range(600)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(600)], "doc_id long, quality int")
+    few = sorted(r.doc_id for r in quality.keep(spark, docs, labels).collect())
+    monkeypatch.setattr(quality, "LABELS", 0)
+    monkeypatch.setattr(quality, "FEW", 0)
+    assert sorted(r.doc_id for r in quality.keep(spark, docs, labels).collect()) == few and 0 < len(few) < 600
