@@ -10,6 +10,8 @@ from roundwise.llm.common import free_name, staged, unstage
 
 #: A key is hot with more than one in SHARE rows, so fewer than SHARE keys are.
 SHARE = 1000
+#: Rows whose ids are broadcast, so that texts stay where they are: 16 bytes each.
+FEW = 2_000_000
 
 
 def hot_keys(left: DataFrame, key: str) -> list:
@@ -80,7 +82,7 @@ def one_of_each(docs: DataFrame, rows: DataFrame, of: DataFrame) -> DataFrame:
     mark = free_name("_rid", docs)
     marked = docs.withColumn(mark, row_hash())
     known = lambda df, other: df["doc_id"].eqNullSafe(other["doc_id"]) & (df[mark] == other["rid"])
-    out = marked.join(gone, known(marked, gone), "left_anti")
+    out = marked.join(F.broadcast(gone) if gone.count() <= FEW else gone, known(marked, gone), "left_anti")
     if again.limit(1).count():  # rows that the table holds more than once
         once = marked.join(again, known(marked, again), "left_semi").dropDuplicates(["doc_id", mark])
         out = out.join(again, known(out, again), "left_anti").unionByName(once)
