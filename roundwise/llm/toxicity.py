@@ -161,7 +161,7 @@ class Model:
     weights: np.ndarray  # of each place
     bias: float
     curve: tuple[float, float, float]  # constant, highest and second margin
-    memo: dict[str, tuple[float, str]] = field(default_factory=dict)  # token to its highest word
+    memo: dict[str, tuple[str, float]] = field(default_factory=dict)  # token to its highest word
 
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
@@ -179,13 +179,18 @@ class Model:
         if len(self.memo) > MEMO:
             self.memo.clear()
         found = [tokens(t) for t in texts]
-        missing = list({t for x in found for t in x if t not in self.memo})
+        missing = list(set().union(*found) - self.memo.keys())
         parts = [cleaned(t) for t in missing]
         distinct = list(dict.fromkeys(w for x in parts for w in x))
         of = dict(zip(distinct, self.margins(distinct).tolist(), strict=True))
-        self.memo.update((t, max(((of[w], w) for w in x), default=(-3.0, ""))) for t, x in zip(missing, parts, strict=True))
+        for t, x in zip(missing, parts, strict=True):
+            if len(x) == 1:
+                self.memo[t] = (x[0], of[x[0]])
+            else:
+                m, w = max(((of[w], w) for w in x), default=(-3.0, ""))
+                self.memo[t] = (w, m)
         get = self.memo.__getitem__
-        out = [self.score(sorted({w: m for m, w in map(get, x)}.values())[-2:]) for x in found]
+        out = [self.score(sorted(dict(map(get, x)).values())[-2:]) for x in found]
         for t in missing:
             if len(t) > LONG:
                 del self.memo[t]
