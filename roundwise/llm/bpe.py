@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from roundwise.llm.common import pieces, table
 
 MASK = (1 << 64) - 1
-#: Pre-tokens that a worker keeps (about 150 bytes each), and the longest of them.
-MEMO, LONG = 200_000, 64
+#: Pre-tokens that a worker keeps (about 200 bytes each): beside other stages, and
+#: where nothing else needs the memory; and the longest of them.
+MEMO, ROOMY, LONG = 200_000, 600_000, 64
 
 
 def _mix(h: int, d: int) -> int:
@@ -136,10 +137,10 @@ class Codec:
     def __getstate__(self):
         return self.__dict__ | {"memo": None}
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str, memo: int = MEMO) -> bytes:
         if self.memo is None:
             self.memo = Memo(self.index, self.ids, self.ranks)
-        if len(self.memo) > MEMO:
+        if len(self.memo) > memo:
             self.memo.clear()
         return b"".join(map(self.memo.__getitem__, regex.findall(self.pattern, text)))
 
@@ -174,7 +175,7 @@ def codec(path: str, pattern: str) -> Codec:
 _here: dict[int, Codec] = {}
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, outputs: tuple[str, ...] = ("n_tokens", "ids"), keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, outputs: tuple[str, ...] = ("n_tokens", "ids"), keep: tuple[str, ...] = ("doc_id",), text: str = "text", memo: int = MEMO) -> DataFrame:
     """keep's columns and, of each whole text: n_tokens, ids (binary,
     little-endian unsigned 32-bit), decoded (binary), ids_sha256, decoded_sha256,
     as named in outputs. The rank file is read on the driver."""
@@ -193,7 +194,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, outputs: tuple[str, .
         for batch in pieces(batches):
             got: dict[str, list] = {o: [] for o in outputs}
             for value in batch.column(len(keep)):
-                ids = mine.encode(value.as_py() or "")
+                ids = mine.encode(value.as_py() or "", memo)
                 for o in outputs:
                     if o == "n_tokens":
                         got[o].append(len(ids) // 4)
@@ -211,11 +212,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, outputs: tuple[str, .
     return docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text}`"].alias("_text_")).mapInArrow(run, schema)
 
 
-def tokenize(docs: DataFrame) -> DataFrame:
+def tokenize(docs: DataFrame, memo: int = MEMO) -> DataFrame:
     import public_tokenizers
 
-    return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"), memo=memo)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize(table(spark, sf_dir, "documents"))
+    return tokenize(table(spark, sf_dir, "documents"), ROOMY)
