@@ -19,9 +19,11 @@ READ_LETTERS = {"3": "A", "5": "B", "6": "C"}
 
 
 def number(text: Column) -> Column:
-    """First signed decimal of a text without commas and a trailing x."""
+    """First signed decimal of a text without commas and a trailing x; a text that is
+    a JSON number with an exponent (how 10 million is written) is taken whole."""
     plain = F.regexp_replace(F.regexp_replace(text, "(?i)x$", ""), ",", "")
-    return F.regexp_extract(plain, r"-?\d+(?:\.\d+)?", 0).try_cast("double")
+    found = F.regexp_extract(plain, r"-?\d+(?:\.\d+)?", 0)
+    return F.when(text.rlike(r"^-?\d+(?:\.\d+)?[eE][+-]?\d+$"), text).otherwise(found).try_cast("double")
 
 
 def let(value: Column, body) -> Column:
