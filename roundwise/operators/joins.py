@@ -41,9 +41,9 @@ def next_hit(locks: DataFrame, rounds: DataFrame, after: str = "made", into: str
     hits = rounds.join(targets_of(locks), F.col("multiplier") >= F.col("_t")).select(F.col("_t").alias("target"), F.col("round_id").alias("_at"), F.col("round_id").alias("_hit"))
     asked = locks.select("target", F.col(after).alias("_at")).distinct().withColumn("_hit", F.lit(None).cast("long"))
     both = hits.unionByName(asked).withColumn("_blk", F.floor(F.col("_at") / block).cast("long"))
-    inside = Window.partitionBy("target", "_blk").orderBy("_at", F.col("_hit").isNull().cast("int")).rowsBetween(1, Window.unboundedFollowing)
-    later = Window.partitionBy("target").orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
-    firsts = both.groupBy("target", "_blk").agg(F.min("_hit").alias("_first")).select("target", "_blk", F.first("_first", ignorenulls=True).over(later).alias("_later"))
-    found = both.withColumn("_near", F.first("_hit", ignorenulls=True).over(inside)).where("_hit IS NULL").join(firsts, ["target", "_blk"])
+    inside = Window.partitionBy("target", "_blk").orderBy(F.desc("_at"), F.col("_hit").isNotNull().cast("int")).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("target").orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = both.groupBy("target", "_blk").agg(F.min("_hit").alias("_first")).select("target", "_blk", F.last("_first", ignorenulls=True).over(later).alias("_later"))
+    found = both.withColumn("_near", F.last("_hit", ignorenulls=True).over(inside)).where("_hit IS NULL").join(firsts, ["target", "_blk"])
     found = found.select(F.col("target").alias("_t"), "_at", F.coalesce("_near", "_later").alias(into))
     return locks.join(found, (F.col("target") == F.col("_t")) & (F.col(after) == F.col("_at")), "left").drop("_t", "_at")
