@@ -6,10 +6,12 @@ repetition of a text costs more than the one before (convex), whichever source i
 is for, so no text is repeated while something fresh can fill a quota. What a
 pattern gives a source comes from that source's own rows of its texts.
 
-The flow holds the MAX_PATTERNS patterns of several sources with the most tokens
-(of MEMBERS sources at most) and the patterns of one source that share a source
-with them; other texts count for their own source only, whose share needs no flow.
-The driver holds a few numbers for each source, and never a document.
+The flow holds every pattern of several sources, and the patterns of one source that
+share a source with them; the texts of other sources need none. As costs depend on
+the repetition only, it is a maximum flow with the arcs of a first taking, then one
+with those of the second as well, and so on: what the source of a flow gave once is
+never taken back. The driver holds a few numbers for each pattern and source, and
+never a document; MAX_PATTERNS, if set, bounds the patterns of several sources.
 
 A pattern that shall give F tokens of its T in a source takes all rows there F // T
 times and for the rest a seeded subset: rows in the order of a seeded hash up to a
@@ -25,7 +27,7 @@ that agree in id, text and source, any may be the ones taken).
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,7 +38,10 @@ from roundwise.llm.graphs import hot_join
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-MAX_PATTERNS, MEMBERS, FINE, BINS = 400, 8, 400, 256
+MAX_PATTERNS: int | None = None
+FINE, BINS = 400, 256
+#: Characters of a pattern's name; a longer one is known by its hash.
+NAME = 256
 #: Keys of a table that is broadcast; larger ones are joined by shuffle.
 FEW = 50_000
 SPAN = 1 << 40
@@ -61,47 +66,69 @@ def targets(sizes: dict, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
 
 
 class Flow:
-    """Successive shortest paths with potentials, over real capacities."""
+    """Maximum flow by blocking flows of shortest paths, over real capacities. Arcs
+    may be added, or get more room, between runs."""
 
     def __init__(self, nodes: int):
         self.graph: list[list[int]] = [[] for _ in range(nodes)]
-        self.arcs: list[list[float]] = []  # to, room, cost
-
-    def arc(self, a: int, b: int, room: float, cost: float) -> int:
-        self.graph[a].append(len(self.arcs))
-        self.arcs.append([b, room, cost])
-        self.graph[b].append(len(self.arcs))
-        self.arcs.append([a, 0.0, -cost])
-        return len(self.arcs) - 2
+        self.to: list[int] = []
+        self.room: list[float] = []
+
+    def arc(self, a: int, b: int, room: float) -> int:
+        for x, y, r in ((a, b, room), (b, a, 0.0)):
+            self.graph[x].append(len(self.to))
+            self.to.append(y)
+            self.room.append(r)
+        return len(self.to) - 2
+
+    def levels(self, source: int, sink: int, least: float) -> list[int]:
+        level = [-1] * len(self.graph)
+        level[source], queue = 0, deque([source])
+        while queue and level[sink] < 0:
+            x = queue.popleft()
+            for e in self.graph[x]:
+                if self.room[e] > least and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[x] + 1
+                    queue.append(self.to[e])
+        return level
 
     def run(self, source: int, sink: int, least: float = 1e-6) -> None:
-        high = [0.0] * len(self.graph)
-        while True:
-            far, by = [float("inf")] * len(self.graph), [-1] * len(self.graph)
-            far[source], heap = 0.0, [(0.0, source)]
-            while heap:
-                d, x = heapq.heappop(heap)
+        while (level := self.levels(source, sink, least))[sink] >= 0:
+            at, path, x = [0] * len(self.graph), [], source
+            while True:
                 if x == sink:
-                    break
-                if d > far[x]:
+                    amount = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= amount
+                        self.room[e ^ 1] += amount
+                    first = next(i for i, e in enumerate(path) if self.room[e] <= least)
+                    x = self.to[path[first] ^ 1]
+                    del path[first:]
+                while at[x] < len(self.graph[x]):
+                    e = self.graph[x][at[x]]
+                    if self.room[e] > least and level[self.to[e]] == level[x] + 1:
+                        break
+                    at[x] += 1
+                else:
+                    if x == source:
+                        break
+                    x = self.to[path.pop() ^ 1]
+                    at[x] += 1
                     continue
-                for e in self.graph[x]:
-                    y, room, cost = self.arcs[e]
-                    y = int(y)
-                    if room > least and (to := d + cost + high[x] - high[y]) < far[y] - 1e-12:
-                        far[y], by[y] = to, e
-                        heapq.heappush(heap, (to, y))
-            if by[sink] < 0:
-                return
-            high = [h + min(f, far[sink]) for h, f in zip(high, far, strict=True)]
-            path, x = [], sink
-            while x != source:
-                path.append(by[x])
-                x = int(self.arcs[by[x] ^ 1][0])
-            amount = min(self.arcs[e][1] for e in path)
-            for e in path:
-                self.arcs[e][1] -= amount
-                self.arcs[e ^ 1][1] += amount
+                path.append(e)
+                x = self.to[e]
+
+    def open_to(self, sink: int, least: float = 1e-6) -> list[bool]:
+        """The nodes that could send more to the sink."""
+        found, queue = [False] * len(self.graph), deque([sink])
+        found[sink] = True
+        while queue:
+            x = queue.popleft()
+            for e in self.graph[x]:
+                if self.room[e ^ 1] > least and not found[self.to[e]]:
+                    found[self.to[e]] = True
+                    queue.append(self.to[e])
+        return found
 
 
 def route(texts: dict[int, int], rows: dict[tuple[int, str | None], int], quota: dict, repeats: int = REPEATS) -> dict[tuple, float]:
@@ -114,19 +141,21 @@ def route(texts: dict[int, int], rows: dict[tuple[int, str | None], int], quota:
     node = {p: 2 + i for i, p in enumerate(patterns)} | {("source", s): 2 + len(patterns) + j for j, s in enumerate(sources)}
     flow = Flow(2 + len(node))
     room = dict.fromkeys(patterns, 0)
-    arcs = {}
+    arcs, ahead = {}, {p: flow.arc(0, node[p], 0.0) for p in patterns}
     for (p, s), n in sorted(rows.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or "")):
         room[p] += repeats * n
-        arcs[p, s] = flow.arc(node[p], node["source", s], float(repeats * n), 0.0)
-    for p in patterns:
-        r = 1
-        while room[p] > 0 and texts[p] > 0:
-            flow.arc(0, node[p], float(min(texts[p], room[p])), r * (r - 1) / 2)
-            room[p], r = room[p] - texts[p], r + 1
+        arcs[p, s] = flow.arc(node[p], node["source", s], float(repeats * n))
     for s in sources:
-        flow.arc(node["source", s], 1, quota[s], 0.0)
-    flow.run(0, 1)
-    return {k: flow.arcs[e ^ 1][1] for k, e in arcs.items()}
+        flow.arc(node["source", s], 1, quota[s])
+    left = [p for p in patterns if texts[p] > 0]
+    while left := [p for p in left if room[p] > 0]:
+        for p in left:
+            flow.room[ahead[p]] += min(texts[p], room[p])
+            room[p] -= texts[p]
+        flow.run(0, 1)
+        further = flow.open_to(1)
+        left = [p for p in left if further[node[p]]]
+    return {k: flow.room[e ^ 1] for k, e in arcs.items()}
 
 
 def measured(docs: DataFrame, seed: int, into: str) -> DataFrame:
@@ -137,12 +166,18 @@ def measured(docs: DataFrame, seed: int, into: str) -> DataFrame:
 
 def overlaps(rows: DataFrame) -> tuple[DataFrame, list[tuple[str, int]]]:
     """rows: source, size, t. (t, pattern) of the texts that several sources hold,
-    and the patterns' tokens; patterns are sources as a JSON array."""
-    held = rows.where("size > 0").groupBy("t").agg(F.collect_set(F.struct("source")).alias("members"), F.max("size").alias("size")).where(F.size("members").between(2, MEMBERS))
+    and the patterns' tokens; patterns are sources as a JSON array, or its hash."""
+    held = rows.where("size > 0").groupBy("t").agg(F.collect_set(F.struct("source")).alias("members"), F.max("size").alias("size")).where(F.size("members") > 1)
     named = F.to_json(F.transform(F.array_sort("members"), lambda x: x["source"]), {"ignoreNullFields": "false"})
+    named = F.when(F.length(named) > NAME, F.sha2(named, 256)).otherwise(named)
     several = staged(held.select("t", named.alias("pattern"), "size"), "overlaps")
-    most = several.groupBy("pattern").agg(F.sum("size").alias("size")).orderBy(F.desc("size"), "pattern").limit(MAX_PATTERNS).collect()
-    return several.where(F.col("pattern").isin([r["pattern"] for r in most])).select("t", "pattern"), [(r["pattern"], r["size"]) for r in most]
+    sizes = several.groupBy("pattern").agg(F.sum("size").alias("size"))
+    if MAX_PATTERNS is not None:
+        sizes = sizes.orderBy(F.desc("size"), "pattern").limit(MAX_PATTERNS)
+    most = sizes.collect()
+    if MAX_PATTERNS is not None:
+        several = several.where(F.col("pattern").isin([r["pattern"] for r in most]))
+    return several.select("t", "pattern"), [(r["pattern"], r["size"]) for r in most]
 
 
 def key_of(pattern: Column, source: Column) -> Column:

@@ -86,3 +86,32 @@ def test_many_sources_without_broadcasts(spark, tmp_path, monkeypatch):
     few = op2(spark, tmp_path, rows).sort_values("doc_id").values.tolist()
     monkeypatch.setattr(mixing, "FEW", 0)
     assert op2(spark, tmp_path, rows).sort_values("doc_id").values.tolist() == few
+
+
+def test_no_pattern_is_left_out(spark):
+    """Texts of a dozen sources, and more patterns than were once kept."""
+    names = [f"s{i:02}" for i in range(60)]
+    pairs = list(itertools.combinations(names, 2))[:500]
+    rows = [(s, 10, i) for i, pair in enumerate(pairs) for s in pair] + [(s, 7, 9999) for s in names[:12]] + [(s, 5, 7777) for s in names]
+    several, most = mixing.overlaps(spark.createDataFrame(rows, "source string, size long, t long"))
+    found = {r.t: r.pattern for r in several.collect()}
+    assert set(found) == {t for _, _, t in rows} and len(set(found.values())) == len(most) == 502
+    assert dict(most)[found[9999]] == 7 and dict(most)[found[7777]] == 5 and len(found[7777]) == 64
+
+
+def test_many_patterns_are_routed():
+    """What is fresh goes first: no pattern is taken twice while quotas can do with one."""
+    pick = random.Random(5)
+    names = [f"s{i}" for i in range(30)]
+    texts, rows = {}, {}
+    for p in range(4000):
+        texts[p] = pick.randrange(1, 50)
+        rows |= {(p, s): texts[p] for s in pick.sample(names, pick.randrange(1, 6))}
+    whole = sum(texts.values())
+    once = mixing.route(texts, rows, dict.fromkeys(names, whole / 60))
+    twice = mixing.route(texts, rows, dict.fromkeys(names, whole / 20))
+    by = lambda flow: [sum(flow[k] for k in rows if k[0] == p) for p in texts]
+    for flow, quota, times in ((once, whole / 60, 1), (twice, whole / 20, 2)):
+        assert all(sum(flow[k] for k in rows if k[1] == s) == pytest.approx(quota) for s in names)
+        assert all(given <= times * texts[p] + 1e-6 for p, given in enumerate(by(flow)))
+    assert sum(min(g, t) for g, t in zip(by(twice), texts.values(), strict=True)) == pytest.approx(whole, rel=1e-6)
