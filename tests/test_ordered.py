@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from roundwise import catalog
 from roundwise.operators import joins, ordered
 
 
@@ -69,8 +70,6 @@ def test_plans_stay_parallel(spark):
 
 def test_values_ahead_take_one_step_a_row(spark):
     """A frame up to unbounded following is read anew for each row of a block."""
-    from roundwise.operators import joins
-
     df = spark.createDataFrame([(i, float(i % 9)) for i in range(300)], "idx long, multiplier double")
     ahead = ordered.carried_all(df, {"a": F.when(F.col("multiplier") == 8, F.col("idx")), "b": F.when(F.col("idx") % 50 == 0, F.col("idx"))}, forward=False, inclusive=False, block=64)
     locks = spark.createDataFrame([(8, i) for i in range(-1, 300, 7)], "target int, made long")
@@ -80,3 +79,9 @@ def test_values_ahead_take_one_step_a_row(spark):
     at = lambda i, step, off: next((j for j in range(i + 1, 300) if j % step == off), None)
     assert sorted((r.idx, r.a, r.b) for r in ahead.collect()) == [(i, at(i, 9, 8), at(i, 50, 0)) for i in range(300)]
     assert sorted((r.made, r.hit) for r in hits.collect()) == [(i, at(i, 9, 8)) for i in range(-1, 300, 7)]
+
+
+@pytest.mark.parametrize("name", ["state_neighbours", "quick_hit", "next_hit"])
+def test_queries_ahead_read_no_row_twice(spark, name):
+    text = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedfollowing" not in text
