@@ -48,6 +48,8 @@ WITNESSES = 2
 BALANCE = 0.15
 HASH = 18
 SPAN, WIDTH, STEP = 6, 24, 12
+#: Rows of the training table that a step copies.
+ROWS = 8192
 DECAY = 0.5
 #: Tokens that a worker keeps, and the longest of them.
 MEMO, LONG = 600_000, 64
@@ -208,8 +210,12 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 12) -> np.
     for _ in range(rounds):
         miss = 1 - y * (x @ w)
         on = miss > 0
-        grad = w - x[on].T @ (cost[on] * y[on] * miss[on]) * 2
-        hess = np.eye(len(w)) + 2 * (x[on] * cost[on, None]).T @ x[on]
+        grad, hess = w.copy(), np.eye(len(w))
+        for at in range(0, len(x), ROWS):  # no copy of the whole table
+            part = slice(at, at + ROWS)
+            some, c = x[part][on[part]], cost[part][on[part]]
+            grad -= some.T @ (c * y[part][on[part]] * miss[part][on[part]]) * 2
+            hess += 2 * (some * c[:, None]).T @ some
         w = w - np.linalg.solve(hess, grad)
     return w
 
@@ -252,7 +258,9 @@ def fit(rows: list[tuple[int, str | None]]) -> Model:
         return Model(weights, float(w[-1]), curve)
 
     def features(words: list[str]) -> np.ndarray:
-        return np.column_stack([kernel(words, marks) @ white, np.ones(len(words))])
+        out = np.ones((len(words), white.shape[1] + 1))
+        np.matmul(kernel(words, marks), white, out=out[:, :-1])
+        return out
 
     clean_rows = features(negatives)
     words = sorted(bad)
