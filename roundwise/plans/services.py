@@ -174,14 +174,11 @@ _STATE10 = f"{I}, s AS (SELECT idx, multiplier, idx - coalesce(max(CASE WHEN mul
 def quick_hit(spark, sf_dir):
     """The chance of a hit of 10 within two rounds, from the waits after states of a
     like gap and from the plain rate, and fresh gaps counting more."""
-    s = ordered.carried(sequence(spark, sf_dir), "last", F.when(F.col("multiplier") >= 10, F.col("idx")))
-    s = ordered.carried(s, "nxt", F.when(F.col("multiplier") >= 10, F.col("idx")), forward=False, inclusive=False).withColumn("gap", F.col("idx") - F.coalesce("last", F.lit(-1)))
-    before = ordered.carried(s, "before", F.when(F.col("multiplier") >= 10, F.col("idx")), inclusive=False).where("multiplier >= 10 AND before IS NOT NULL").groupBy((F.col("idx") - F.col("before")).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    q = s.agg(F.max_by("gap", "idx").alias("gap0"), F.max("idx").alias("now"), F.avg((F.col("multiplier") >= 10).cast("int")).alias("p"))
-    g = before.agg(F.percentile("d", F.array(F.lit(0.25), F.lit(0.5)), F.col("n")).alias("q"))
-    w = s.crossJoin(F.broadcast(q)).where("idx >= 120 AND idx < now AND nxt IS NOT NULL").select(F.exp(-0.9 * F.abs(F.log1p("gap") - F.log1p("gap0"))).alias("w"), (F.col("nxt") - F.col("idx")).alias("wait"), "gap0", "p")
-    within = lambda k: F.coalesce(F.sum(F.col("w") * (F.col("wait") <= k).cast("int")) / F.sum("w"), F.lit(0.0))
-    a = w.agg(within(1.5).alias("one"), within(2.5).alias("two"), within(3.5).alias("three"), F.max("p").alias("p"), F.max("gap0").alias("gap0")).crossJoin(F.broadcast(g))
+    s = ordered.gap_counts(rounds(spark, sf_dir), F.col("multiplier") >= 10, since=120)
+    weight = F.exp(-0.9 * F.abs(F.log1p("passed") - F.log1p("open")))
+    within = lambda k: F.coalesce(F.sum(F.when(F.col("gap") - F.col("passed") <= k, F.col("n") * weight)) / F.sum(F.col("n") * weight), F.lit(0.0))
+    inside, p = F.col("passed").isNotNull(), F.max(F.when(F.col("passed").isNotNull(), F.col("rate"))).alias("p")
+    a = s.agg(within(1).alias("one"), within(2).alias("two"), within(3).alias("three"), p, F.max(F.when(inside, F.col("open"))).alias("gap0"), F.percentile("gap", F.array(F.lit(0.25), F.lit(0.5)), F.col("whole")).alias("q"))
     fresh = F.when(F.col("gap0") <= F.col("q")[0], 1.0).when(F.col("gap0") <= F.col("q")[1], 0.72).otherwise(0.45)
     return a.select(F.round((0.42 * F.col("one") + 0.28 * F.col("two") + 0.12 * F.col("three") + 0.18 * (1 - (1 - F.col("p")) * (1 - F.col("p")))) * fresh, 6).alias("quick"))
 

@@ -85,3 +85,38 @@ def test_values_ahead_take_one_step_a_row(spark):
 def test_queries_ahead_read_no_row_twice(spark, name):
     text = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "unboundedfollowing" not in text
+
+
+def _some_rounds(spark, n=700):
+    """round_id with holes, longer than a block once, and values of which some are null."""
+    ids = [3 * i + (400 if i > 300 else 0) for i in range(n)]
+    values = [None if i % 41 == 7 else float((i * i * 31 + i) % 97) / (1 + i % 4) for i in range(n)]
+    return values, spark.createDataFrame(list(zip(ids, values, strict=True)), "round_id long, multiplier double").repartition(3)
+
+
+@pytest.mark.parametrize("level, since", [(10, 120), (60, 120), (10, 0), (2000, 120)])
+def test_gap_counts_are_those_of_rows(spark, level, since):
+    values, df = _some_rounds(spark)
+    hits = [i for i, v in enumerate(values) if v is not None and v >= level]
+    want, whole = {}, {}
+    for a, b in zip([-1, *hits], hits, strict=False):
+        if a >= 0:
+            whole[b - a] = whole.get(b - a, 0) + 1
+        for i in range(max(a, 0, since), b):
+            want[b - a, i - a] = want.get((b - a, i - a), 0) + 1
+    got = ordered.gap_counts(df, F.col("multiplier") >= level, since=since, block=64).collect()
+    found, twice = {}, {}
+    for r in got:
+        twice[r.gap] = twice.get(r.gap, 0) + r.whole
+        if r.passed is not None:
+            found[r.gap, r.passed] = found.get((r.gap, r.passed), 0) + r.n
+    assert found == want
+    assert {g: n for g, n in twice.items() if n} == whole
+    for r in got:
+        assert r.open == len(values) - 1 - hits[-1] and r.rate == len(hits) / sum(v is not None for v in values)
+
+
+@pytest.mark.parametrize("name, most", [("quick_hit", 1)])
+def test_queries_ahead_read_their_table_few_times(spark, name, most):
+    text = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation [") <= most
