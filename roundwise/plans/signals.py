@@ -57,16 +57,15 @@ STATE = f"{I}, s AS (SELECT idx, " + ", ".join(f"ln(1 + idx - coalesce(max(CASE
 def state_neighbours(spark, sf_dir):
     """Waits after states like the last one, weighted by distance and recency,
     and the chance of a quick hit they give."""
-    s = sequence(spark, sf_dir)
     levels = (5, 10, 20, 50)
-    s = ordered.carried_all(s, {f"at{t}": F.when(F.col("multiplier") >= t, F.col("idx")) for t in levels}).withColumns({f"g{t}": F.log1p(F.col("idx") - F.coalesce(f"at{t}", F.lit(-1))) for t in levels})
-    s = ordered.carried(s, "nxt", F.when(F.col("multiplier") >= 10, F.col("idx")), forward=False, inclusive=False)
-    s = ordered.framed(s, 23, 0, lambda rows: {"u": F.avg((F.col("multiplier") < 2).cast("int")).over(rows(-23, 0))})
-    q = s.agg(F.max_by(F.struct("idx", "g5", "g10", "g20", "g50", "u"), "idx").alias("q"))
+    reached = sum(F.when(F.col("multiplier") >= t, 1).otherwise(0) for t in levels)
+    s = ordered.states(rounds(spark, sf_dir), reached, len(levels), F.col("multiplier") < 2, 1 + levels.index(10))
+    gap = lambda at, idx: F.log1p(F.col(idx) - F.coalesce(at, F.lit(-1)))
+    s = s.select("idx", "nxt", "u", *[gap(f"at{k}", "idx").alias(f"g{t}") for k, t in enumerate(levels, 1)], F.struct("q.idx", "q.u", *[gap(f"q.at{k}", "q.idx").alias(f"g{t}") for k, t in enumerate(levels, 1)]).alias("q"))
     # the gap of the target itself and of 10 are the same here: 1.35 + 0.26
     far = sum(w * F.abs(F.col(n) - F.col(f"q.{n}")) for n, w in (("g10", 1.61), ("g5", 0.22), ("g20", 0.24), ("g50", 0.2), ("u", 0.9)))
     recent = 0.35 + 0.65 * F.pow((F.col("idx") + 1) / F.col("q.idx"), F.lit(1.4))
-    d = s.crossJoin(F.broadcast(q)).where("idx >= 120 AND idx < q.idx AND nxt IS NOT NULL").select((F.col("nxt") - F.col("idx")).alias("ttn"), (F.exp(-0.9 * far) * recent).alias("w")).where("w >= 0.002")
+    d = s.where("idx >= 120 AND idx < q.idx AND nxt IS NOT NULL").select((F.col("nxt") - F.col("idx")).alias("ttn"), (F.exp(-0.9 * far) * recent).alias("w")).where("w >= 0.002")
     part = lambda c: F.sum(F.col("w") * c) / F.sum("w")
     within = lambda k: part((F.col("ttn") <= k).cast("int"))
     return d.agg(F.count(F.lit(1)).alias("n"), F.round(part(F.col("ttn")), 6).alias("mean_wait"), F.round(0.42 * within(1) + 0.28 * within(2) + 0.12 * within(3), 6).alias("quick"))

@@ -116,7 +116,24 @@ def test_gap_counts_are_those_of_rows(spark, level, since):
         assert r.open == len(values) - 1 - hits[-1] and r.rate == len(hits) / sum(v is not None for v in values)
 
 
-@pytest.mark.parametrize("name, most", [("quick_hit", 1)])
+@pytest.mark.parametrize("block", [7, 64, 4096])
+def test_states_are_those_of_rows(spark, block):
+    values, df = _some_rounds(spark)
+    cuts = (5, 20, 60)
+    level = sum(F.when(F.col("multiplier") >= t, 1).otherwise(0) for t in cuts)
+    got = sorted(ordered.states(df, level, 3, F.col("multiplier") < 9, 2, block=block).collect(), key=lambda r: r.idx)
+    assert [r.idx for r in got] == list(range(len(values)))
+    reach = lambda t: [i for i, v in enumerate(values) if v is not None and v >= t]
+    for r in got:
+        i = r.idx
+        some = [v < 9 for v in values[max(0, i - 23) : i + 1] if v is not None]
+        assert [r.at1, r.at2, r.at3] == [max((j for j in reach(t) if j <= i), default=None) for t in cuts]
+        assert r.nxt == min((j for j in reach(20) if j > i), default=None)
+        assert r.u == (sum(some) / len(some) if some else None)
+        assert r.q == (got[-1].idx, got[-1].at1, got[-1].at2, got[-1].at3, got[-1].u)
+
+
+@pytest.mark.parametrize("name, most", [("state_neighbours", 2), ("quick_hit", 1)])
 def test_queries_ahead_read_their_table_few_times(spark, name, most):
     text = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Relation [") <= most
